@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tallyframe.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tallyframe.llm.packing import op8_best_fit_packing
+from tallyframe.llm.partenum_join import op7_partenum_join
 from tallyframe.llm.quality_crf import op5_quality_crf
 
 QUERIES = {
     "op5_quality_crf": op5_quality_crf,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_partenum_join": op7_partenum_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLES = {
