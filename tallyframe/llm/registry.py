@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tallyframe.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tallyframe.llm.histogram_sort import op3_histogram_sort
 from tallyframe.llm.packing import op8_best_fit_packing
 from tallyframe.llm.partenum_join import op7_partenum_join
+from tallyframe.llm.pfair_mix import OP4_SQL, op4_pfair_mix
 from tallyframe.llm.quality_crf import op5_quality_crf
 
 QUERIES = {
+    "op3_histogram_sort": op3_histogram_sort,
+    "op4_pfair_mix": op4_pfair_mix,
     "op5_quality_crf": op5_quality_crf,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_partenum_join": op7_partenum_join,
@@ -15,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_pfair_mix": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
