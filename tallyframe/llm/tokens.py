@@ -1,8 +1,8 @@
 """Token ids of whole texts, with the words of a text remembered between texts.
 
 Both public tokenizers used here cut a text into words before they merge characters,
-and no word crosses a single space that stands between a visible character and an
-ASCII letter. So a text is cut at such spaces, and the ids of a piece are looked up in
+and no word crosses a single space that stands between a visible character and a
+Latin letter. So a text is cut at such spaces, and the ids of a piece are looked up in
 a memory of bounded size; a piece that is not there is cut into plain words (Latin
 letters, digits, punctuation), which the tokenizer's model merges one by one, or, if
 it holds anything else, goes through the whole tokenizer. The ids are those that the
@@ -15,25 +15,27 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of the memory for pieces and of the one for words, in each worker process.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Characters of a long text that are encoded at a time.
 SPAN = 1 << 20
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-CUT = re.compile(r" (?<=\S )(?=[A-Za-z])")
+CUT = re.compile(rf" (?<=\S )(?=[{LETTERS}])")
 #: Words of a piece with nothing else in it; a line break only where a visible character follows.
 BYTE_WORDS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?=[{LETTERS}0-9{MARKS}])")
 WORD_WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+#: A word and the marks behind it.
+TAILED = re.compile(rf"([{LETTERS}]+)([{MARKS}]*)")
 WORD_PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS} \n]*")
 
 
@@ -44,6 +46,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else next(others) for b in range(256)]
 
 
+class Memory:
+    """A dictionary of bounded size: what was not asked for while it filled once is forgotten."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.recent) >= self.half:
+            self.recent, self.older = {}, self.recent
+        self.recent[key] = value
+
+    def get(self, key: str) -> bytes | None:
+        found = self.recent.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,27 +78,31 @@ class Encoder:
         ends = parts["model"].get("end_of_word_suffix")
         kind = (parts["pre_tokenizer"] or {}).get("type")
         self.kind = "word" if ends else "byte" if kind == "ByteLevel" else "other"
+        self.space = " " if self.kind == "byte" else ""
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.remembered = remembered
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(remembered), Memory(remembered)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        """The ids of one word by the merges of the model."""
+        if word.isascii():
+            mapped = word.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            mapped = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= self.remembered:
-                self.words.clear()
-            mapped = "".join(map(self.letters.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            self.words[word] = found
+            found = self._merged(word)
+            self.words.put(word, found)
         return found
 
     def _piece(self, piece: str) -> bytes:
+        """The ids of any piece, word by word if it is plain, else by the whole tokenizer."""
         if self.kind == "byte":
             words = BYTE_WORDS.findall(piece)
             plain = sum(map(len, words)) == len(piece)
@@ -83,17 +111,41 @@ class Encoder:
             words = WORD_WORDS.findall(piece.lower()) if plain else []
         return b"".join(map(self._word, words)) if plain else self._whole(piece)
 
-    def _parts(self, text: str) -> Iterator[bytes]:
+    def _after_space(self, piece: str) -> bytes:
+        """The ids of a piece that a space precedes; remembers it."""
+        found = self.pieces.get(piece)
+        if found is None:
+            word = TAILED.fullmatch(piece)
+            if word is None:
+                found = self._piece(self.space + piece)
+            elif tail := word[2]:
+                found = self._after_space(word[1]) + self._word(tail)
+            else:
+                found = self._merged(self.space + piece if self.space else piece.lower())
+            self.pieces.put(piece, found)
+        return found
+
+    def _span(self, text: str) -> bytes:
+        first, *rest = CUT.split(text)
+        out = list(map(self.pieces.recent.get, rest))
+        if None in out:
+            out = [self._after_space(p) if found is None else found for p, found in zip(rest, out, strict=True)]
+        return self._piece(first) + b"".join(out)
+
+    def _span(self, text: str) -> bytes:
         first, *rest = CUT.split(text)
-        yield self._piece(first)
-        get, space = self.pieces.get, " " if self.kind == "byte" else ""
-        for piece in rest:
-            found = get(piece)
-            if found is None:
-                if len(self.pieces) >= self.remembered:
-                    self.pieces.clear()
-                found = self.pieces[piece] = self._piece(space + piece)
-            yield found
+        out = list(map(self.pieces.recent.get, rest))
+        if None in out:
+            space = " " if self.kind == "byte" else ""
+            for i, found in enumerate(out):
+                if found is None:
+                    piece = rest[i]
+                    found = self.pieces.get(piece)
+                    if found is None:
+                        found = self._piece(space + piece)
+                        self.pieces.put(piece, found)
+                    out[i] = found
+        return self._piece(first) + b"".join(out)
 
     def _spans(self, text: str) -> Iterator[str]:
         """The text in spans that end at a cut, so that a long one is never split into all its pieces at once."""
@@ -112,7 +164,7 @@ class Encoder:
             return b""
         if self.kind == "other":
             return self._whole(text)
-        return b"".join(b"".join(self._parts(span)) for span in self._spans(text))
+        return b"".join(map(self._span, self._spans(text)))
 
 
 @functools.cache
