@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.chat_format import OP10_SQL, op10_chat_format
 from tallyframe.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tallyframe.llm.histogram_sort import op3_histogram_sort
 from tallyframe.llm.packing import op8_best_fit_packing
 from tallyframe.llm.partenum_join import op7_partenum_join
 from tallyframe.llm.pfair_mix import OP4_SQL, op4_pfair_mix
 from tallyframe.llm.quality_crf import op5_quality_crf
+from tallyframe.llm.token_files import op9_zstd_token_files
 
 QUERIES = {
     "op3_histogram_sort": op3_histogram_sort,
@@ -16,9 +18,12 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_partenum_join": op7_partenum_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_zstd_token_files": op9_zstd_token_files,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES = {
     "op4_pfair_mix": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op10_chat_format": OP10_SQL,
 }
