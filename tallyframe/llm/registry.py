@@ -5,13 +5,17 @@ from __future__ import annotations
 from tallyframe.llm.chat_format import OP10_SQL, op10_chat_format
 from tallyframe.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tallyframe.llm.histogram_sort import op3_histogram_sort
+from tallyframe.llm.language_id import op1_language_id
 from tallyframe.llm.packing import op8_best_fit_packing
 from tallyframe.llm.partenum_join import op7_partenum_join
 from tallyframe.llm.pfair_mix import OP4_SQL, op4_pfair_mix
 from tallyframe.llm.quality_crf import op5_quality_crf
 from tallyframe.llm.token_files import op9_zstd_token_files
+from tallyframe.llm.token_rollups import OP2_SQL, op2_token_rollups
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_rollups": op2_token_rollups,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_quality_crf": op5_quality_crf,
@@ -23,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_token_rollups": OP2_SQL,
     "op4_pfair_mix": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_chat_format": OP10_SQL,
