@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.exact import from_parts, high_part, low_part, to_units
+from tallyframe.functions.exact import from_parts, high_part, low_part, product, to_units
 from tallyframe.operators.rollup_sums import carry, sum_by
 from tallyframe.sources.tables import read_table
 
@@ -18,9 +18,9 @@ SUMS = ("high", "low", "n_items")
 def revenue_by_nation_of(
     lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame
 ) -> DataFrame:
-    units = to_units(F.col("l_extendedprice"), CENTS) * (
-        10**CENTS - to_units(F.col("l_discount"), CENTS)
-    )
+    price = to_units(F.col("l_extendedprice"), CENTS, "l_extendedprice")
+    share = F.try_subtract(F.lit(10**CENTS), to_units(F.col("l_discount"), CENTS, "l_discount"))
+    units = product(price, share, "l_extendedprice * (1 - l_discount)")
     items = lineitem.select("l_orderkey", units.alias("units")).select(
         "l_orderkey",
         high_part(F.col("units")).alias("high"),

@@ -90,8 +90,34 @@ def join_setting(spark, request):
     spark.conf.set(setting, before)
 
 
+@pytest.fixture(params=["true", "false"], ids=["ansi", "no ansi"])
+def ansi(spark, request):
+    setting = "spark.sql.ansi.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, request.param)
+    yield
+    spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize(
+    "price, discount",
+    [(100.0, 0.125), (10.005, 0.0), (0.004, 0.0), (float("nan"), 0.0), (float("inf"), 0.0),
+     (1e18, 0.0), (1e15, 0.0), (9.3e14, 0.0)],
+)
+def test_an_amount_that_cannot_be_exact_raises(spark, ansi, price, discount):
+    tables = awkward_tables() | {"lineitem": [(3, 5.0, 0.0), (3, price, discount)]}
+    with pytest.raises(Exception, match="decimals|out of range"):
+        revenue_by_nation_of(*frames(spark, tables)).collect()
+
+
+def test_a_price_just_below_the_limit_is_exact(spark, ansi):
+    tables = awkward_tables() | {"lineitem": [(2, 9.2e14, 0.0)]}
+    rows = revenue_by_nation_of(*frames(spark, tables)).collect()
+    assert {r["n_name"]: (r["revenue"], r["n_items"]) for r in rows} == brute_force(tables)
+
+
 @pytest.mark.parametrize("make", [hot_tables, awkward_tables])
-def test_matches_brute_force(spark, join_setting, make):
+def test_matches_brute_force(spark, join_setting, ansi, make):
     tables = make()
     rows = revenue_by_nation_of(*frames(spark, tables)).collect()
     assert {r["n_name"]: (r["revenue"], r["n_items"]) for r in rows} == brute_force(tables)
@@ -162,6 +188,21 @@ def test_hot_order_reaches_its_shuffle_as_one_row_per_map_task(spark):
     assert written == [5]
 
 
+@pytest.mark.parametrize("join_setting", ["-1"], indirect=True)
+@pytest.mark.parametrize("key", ["o_custkey", "c_nationkey"])
+def test_hot_customer_and_nation_are_combined_before_their_shuffle(spark, join_setting, key):
+    tables = hot_tables()
+    if key == "o_custkey":  # every order is of one customer
+        tables["orders"] = [(k, 1) for k, _ in tables["orders"]]
+    else:  # every customer is in one nation
+        tables["customer"] = [(k, 1) for k, _ in tables["customer"]]
+    df = revenue_by_nation_of(*frames(spark, tables))
+    df.collect()
+    written = exchange_rows(df._jdf.queryExecution().executedPlan(), f"hashpartitioning({key}")
+    assert len(written) == 1
+    assert 1 <= written[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def exchange_rows(plan, marker):
     """Rows written by each executed shuffle whose partitioning starts with ``marker``."""
     found = []
