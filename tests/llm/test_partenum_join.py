@@ -1,0 +1,122 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from tallyframe.llm.columns import LOWER_ASCII, read
+from tallyframe.llm.partenum_join import (
+    components,
+    counts,
+    keep_one,
+    near_duplicates,
+    roles,
+    signatures,
+)
+
+from tests.llm.helpers import DATA, table
+
+
+def shingle_set(text):
+    words = (text or "").encode().translate(LOWER_ASCII).split()
+    if not words:
+        return frozenset()
+    n = min(5, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+
+def brute(rows):
+    """(doc_id, set size, smallest doc_id reachable) by comparing all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    return sorted((rows[i][0], len(s), min(groups[find(i)])) for i, s in enumerate(sets))
+
+
+def got(df):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+
+
+def near_copies(seed, bases=12, copies=14, words=60, shared=None):
+    """Groups of near copies around the threshold, some with a passage that all groups share."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(bases):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, words))]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randrange(0, max(2, len(text) // 12))):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+            if shared and rng.random() < 0.7:
+                text += shared
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(
+    "settings", [{}, {"few": 0, "levels": 2}, {"few": 1, "rounds": 0}], ids=["usual", "splitting", "no leaders"]
+)
+def test_components_match_brute_force(spark, settings):
+    rows = near_copies(1, shared=[f"p{i}" for i in range(12)])
+    assert got(near_duplicates(table(spark, rows), **settings)) == brute(rows)
+
+
+def test_whole_table_matches_brute_force(spark):
+    docs = read(spark, f"{DATA}/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert got(near_duplicates(docs)) == brute(rows)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE\ttwo"), (6, "one two three"),
+        (7, "a b c d e"), (8, "a b c d e"), (8, "a b c d e"), (9, "x " * 50_000), (10, "X " * 40_000),
+    ]
+    docs = table(spark, rows, "1 as CID")
+    assert got(near_duplicates(docs)) == brute(rows)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 9]
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "only here and nowhere else")]
+    found = {(r.doc_id, r.component_id) for r in near_duplicates(table(spark, rows)).collect()}
+    assert found == {(None, 3), (3, 3), (None, None)}
+    assert sorted(str(r.doc_id) for r in keep_one(table(spark, rows)).collect()) == ["3", "None"]
+
+
+def test_similar_sets_share_enough_signatures():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        both = rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)
+        extra = rng.integers(0, 2**63, int(len(both) / 3)).astype(np.uint64)
+        cut = rng.integers(0, len(extra) + 1)
+        a, b = np.unique(np.append(both, extra[:cut])), np.unique(np.append(both, extra[cut:]))
+        if 100 * len(both) < 75 * len(np.union1d(a, b)):
+            continue
+        shared = len(np.intersect1d(signatures(a), signatures(b)))
+        band = min(counts(a)[0], counts(b)[0])
+        of = lambda x: counts(x)[1] if counts(x)[0] == band else counts(x)[2]
+        assert shared >= max(1, max(of(a), of(b)) - (len(a) + len(b)) // 7)
+        assert {r[0] for r in roles(len(a))} & {r[0] for r in roles(len(b))}
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(300).selectExpr("id + 1 as a", "id as b")
+    rows = components(links).collect()
+    assert len(rows) == 301 and {r.comp for r in rows} == {0}
