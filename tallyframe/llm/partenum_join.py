@@ -1,30 +1,36 @@
 """Near duplicates by the Jaccard similarity of word shingles, with PartEnum signatures.
 
 Two sets of sizes a and b with 100 * |intersection| >= 75 * |union| differ in at most
-(a + b) / 7 elements. Sizes are cut into bands of ratio 4/3; a pair belongs to the band
-of its smaller set, so a set takes part in its own band and, as the larger one, in the
-band below. Each band cuts the domain of shingles into a fixed number of partitions. A
-signature is one partition together with the set's elements in it. Each differing
-element spoils one partition at most, so two similar sets share all but H of their
-non-empty partitions; in partition order, the first one they share is among the first
-H + 1 of either, and those H + 1 are the signatures that a set emits. A set with no more
-than H non-empty partitions also emits its H + 1 smallest single elements, which covers
-pairs of such sets. So every similar pair shares a signature.
-
-Sharing a signature proposes a pair; the sets themselves are compared before two
+H = (a + b) / 7 elements. Sizes are cut into bands of ratio 4/3; a pair belongs to the
+band of its smaller set, so a set takes part in its own band and, as the larger one, in
+the band below. Each band cuts the domain of shingles into a fixed number of partitions.
+A signature is one non-empty partition together with the set's elements in it. Each
+differing element spoils one partition at most, so of S signatures two similar sets
+share at least S - H. A set for which S - H could be zero also emits its smallest single
+elements as signatures, one more than H; so every similar pair shares a signature.
+
+Sharing signatures proposes a pair; the sets themselves are compared before two
 documents are linked. Not all pairs of a signature are compared:
 
-1. Copies (equal sets) are one class. Each signature links its classes to a leader, on
+1. Copies (equal sets) are one class. Each signature ties its classes to a leader, on
    the map side first, so that a signature of a third of all rows reaches its shuffle
    as one row for each task.
-2. Each class is compared with the leader it shares most signatures with, and the links
-   found are closed into components (large star, small star).
-3. A signature all of whose classes are in one component is done: that settles groups of
-   thousands of near copies. Of the others, those of few classes compare all pairs across
-   components; those of many (a passage that many documents share) are split by
-   signatures of a further, differently seeded partition of the domain, and the steps
-   repeat within each part. After ``LEVELS`` such splits all pairs across components are
-   compared.
+2. Classes that share too few signatures with others to have a similar partner go.
+3. A signature is led by its class with most signatures, and each class joins the leader
+   it shares most of them with, if these are a quarter of its own: classes tied that way
+   are a family, such as the copies of one text with words changed. Within a family all
+   pairs are compared, as products of 0/1 matrices over blocks of bounded size (a large
+   family is cut into blocks, and each pair of blocks is a task); a block returns
+   one edge for each class at most.
+4. Across families, shared signatures are counted for pairs, and only pairs with at
+   least S - H of them are compared. Passages that many documents share spoil few
+   signatures of each and are ruled out here.
+5. A signature with too many pairs across families is not enumerated. It counts in favour
+   of every pair instead, and classes for which these signatures alone could reach S - H
+   are split by signatures of a further, differently seeded partition of the domain, and
+   step 4 repeats inside. After ``LEVELS`` splits all pairs are enumerated.
+
+Links are closed into components by large star and small star rounds.
 
 Parameters: five words, 75 percent. Shingles are 64-bit hashes. A class is a 64-bit
 fingerprint of its set; a second fingerprint detects two sets of one class, and the join
@@ -51,9 +57,12 @@ from tallyframe.llm.scratch import stored
 
 WORDS = 5
 PERCENT = 75
-#: Classes of a signature of which all pairs across components are compared.
-FEW = 24
+#: Pairs across families for each class of a signature, up to which they are enumerated.
+FEW = 64
+#: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
+BLOCK_CLASSES = 1000
+BLOCK_BYTES = 4 << 20
 
 # Hashing
 
@@ -77,21 +86,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     n = min(words, len(parts))
-    out = np.zeros(len(parts) - n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            out = mix(out * STEP + hashes[i : i + len(out)], i)
-    return np.unique(out if n == words else mix(out, 100 + n))
+    out = hashes[: len(parts) - n + 1].copy()
+    for i in range(1, n):  # word hashes are random, so their weighted sum is
+        out *= STEP
+        out += hashes[i : i + len(out)]
+    return np.unique(mix(out, 0 if n == words else 100 + n))
 
 
 def class_of(elements: np.ndarray, seed: int) -> tuple[int, int]:
     """Two fingerprints of a set."""
-    with np.errstate(over="ignore"):
-        size = np.uint64(len(elements)) * STEP
-        return tuple(
-            int(mix(np.array([mix(elements, s).sum(dtype=np.uint64) + size]), s)[0].view(np.int64))
-            for s in (1000 + seed, 2000 + seed)
-        )
+    total = elements.sum(dtype=np.uint64) if seed == 0 else mix(elements, 1000 + seed).sum(dtype=np.uint64)
+    prints = np.array([total, np.bitwise_xor.reduce(elements)], np.uint64) + np.uint64(len(elements))
+    first, second = mix(prints, seed).view(np.int64).tolist()
+    return first, second
 
 
 # Signatures
@@ -113,7 +120,7 @@ def band_of(size: int) -> int:
 
 def partitions_of(band: int) -> int:
     """Enough that even the largest sets of a band have more non-empty partitions than differences."""
-    return (52 * STARTS[band]) // 100 + 3
+    return (60 * STARTS[band]) // 100 + 3
 
 
 def roles(size: int) -> list[tuple[int, int]]:
@@ -130,27 +137,43 @@ def roles(size: int) -> list[tuple[int, int]]:
 def signatures(elements: np.ndarray, level: int = 0) -> np.ndarray:
     """All signatures of a set, as hashes."""
     out = []
+    spread = mix(elements, 10 + level) if level else elements
+    value = elements
     with np.errstate(over="ignore"):
-        spread, value = mix(elements, 10 + 2 * level), mix(elements, 11 + 2 * level)
         for band, most in roles(len(elements)):
-            part = spread % np.uint64(partitions_of(band))
+            n = partitions_of(band)
+            part = (spread % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.uint64)
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             content = np.add.reduceat(value[order], first)
             tag = np.uint64((band << 8) + level)
-            sig = mix(content + part[first] * MULTIPLY[0] + tag * MULTIPLY[1], 3)
-            out.append(sig[: most + 1])
+            sig = mix(content + part[first].astype(np.uint64) * MULTIPLY[0] + tag * MULTIPLY[1], 3)
+            out.append(sig)
             if len(sig) <= most:
                 out.append(mix(np.sort(value)[: most + 1] + tag * MULTIPLY[1], 4))
     return np.concatenate(out)
 
 
+def counts(elements: np.ndarray) -> tuple[int, int, int, int]:
+    """Band, signatures in the own band and in the band below, and how many of them any similar pair shares."""
+    if not len(elements):
+        return 0, 0, 0, 0
+    there, shared = [], []
+    for band, most in roles(len(elements)):
+        n = partitions_of(band)
+        there.append(int(np.count_nonzero(np.bincount((elements % np.uint64(n)).astype(np.int64), minlength=n))))
+        shared.append(there[-1] - most)
+    return band_of(len(elements)), there[0], there[-1], min(shared)
+
+
 # Rows of packed signatures: for one bucket, the classes, how many signatures each has, the
 # signatures' low five bytes; or, with kind 1, edges that a task has found by itself.
 
 PACKED = "bucket int, kind int, classes binary, counts binary, signatures binary"
 LOW_BITS = 40
+#: Signatures that a task holds before it packs them.
+HELD = 250_000
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,24 +182,33 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(keys)))
 
 
-def _leaders(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (signature, class) in order, and for each the smallest class of its signature."""
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    if len(sig):
-        new = np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))
-        sig, cls = sig[new], cls[new]
-    first, lengths = _runs(sig)
-    return sig, cls, np.repeat(cls[first], lengths)
+def _edges_within(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where rows need not go on, and the edges (signature, class, leader) that stand for them.
+
+    The smallest class of a signature leads it; its first row goes on.
+    """
+    order = np.argsort(sig)
+    first, lengths = _runs(sig[order])
+    many = np.repeat(lengths > 1, lengths)
+    at = order[many]
+    at = at[np.lexsort((cls[at], sig[at]))]
+    s, c = sig[at], cls[at]
+    first, lengths = _runs(s)
+    leader = np.repeat(c[first], lengths)
+    done = np.ones(len(at), bool)
+    done[first] = False
+    edge = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))[: len(s)] & (c != leader)
+    return at[done], s[edge], c[edge], leader[edge]
 
 
 def _pack(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple]:
-    sig, cls, leader = _leaders(sig, cls)
-    edge = cls != leader
-    yield from _pack_edges(sig[edge], cls[edge], leader[edge], buckets)
-    sig, cls = sig[~edge], cls[~edge]
-    bucket = ((sig >> np.uint64(LOW_BITS)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((cls, bucket))
+    done, *edges = _edges_within(sig, cls)
+    yield from _pack_edges(*edges, buckets)
+    stay = np.ones(len(sig), bool)
+    stay[done] = False
+    sig, cls = sig[stay], cls[stay]
+    bucket = (sig >> np.uint64(LOW_BITS)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     sig, cls, bucket = sig[order], cls[order], bucket[order]
     for start, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
         part, own = sig[start : start + n], cls[start : start + n]
@@ -213,7 +245,7 @@ def _emit(sets: DataFrame, level: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, classes = [], []
+            sigs, classes, held = [], [], 0
             inside = batch.column("inside").to_pylist() if level else [None] * len(batch)
             for cid, data, within in zip(
                 batch.column("cid").to_pylist(), batch.column("elements"), inside, strict=True
@@ -223,6 +255,10 @@ def _emit(sets: DataFrame, level: int, buckets: int) -> DataFrame:
                     own = sig if outer is None else mix(sig ^ mix(np.array([outer]).view(np.uint64), 6), 7)
                     sigs.append(own)
                     classes.append(np.full(len(own), cid, np.int64))
+                    held += len(own)
+                    if held > HELD:
+                        yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
+                        sigs, classes, held = [], [], 0
             if sigs:
                 yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
 
@@ -236,26 +272,25 @@ def _edges(packed: DataFrame, buckets: int) -> DataFrame:
         names = ["sig", "cid", "leader"]
         sigs, classes = [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                own = np.frombuffer(row["classes"], np.int64)
-                if row["kind"]:
-                    columns = [row["signatures"], row["classes"], row["counts"]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.frombuffer(c, np.int64)) for c in columns], names=names
-                    )
+            for i, (bucket, kind) in enumerate(
+                zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)
+            ):
+                cls, number, packed_ = (batch.column(c)[i].as_buffer() for c in ("classes", "counts", "signatures"))
+                own = np.frombuffer(cls, np.int64)
+                if kind:
+                    columns = [np.frombuffer(packed_, np.int64), own, np.frombuffer(number, np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
                     continue
-                low = np.frombuffer(row["signatures"], np.uint8).reshape(-1, LOW_BITS // 8)
+                low = np.frombuffer(packed_, np.uint8).reshape(-1, LOW_BITS // 8)
                 sig = np.zeros((len(low), 8), np.uint8)
                 sig[:, : LOW_BITS // 8] = low
-                sigs.append(sig.view("<i8").ravel() + (row["bucket"] << LOW_BITS))
-                classes.append(np.repeat(own, np.frombuffer(row["counts"], np.int32)))
+                sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
+                classes.append(np.repeat(own, np.frombuffer(number, np.int32)))
         if sigs:
-            sig, cls, leader = _leaders(np.concatenate(sigs), np.concatenate(classes))
-            edge = np.flatnonzero(cls != leader)
-            for start in range(0, len(edge), 100_000):
-                at = edge[start : start + 100_000]
+            _, *columns = _edges_within(np.concatenate(sigs), np.concatenate(classes))
+            for start in range(0, len(columns[0]), 20_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[at]), pa.array(cls[at]), pa.array(leader[at])], names=names
+                    [pa.array(c[start : start + 20_000]) for c in columns], names=names
                 )
 
     return packed.repartition(buckets, "bucket").mapInArrow(run, "sig long, cid long, leader long")
@@ -317,25 +352,29 @@ def components(links: DataFrame) -> DataFrame:
 # The join
 
 
+FACTS = ("band", "own", "below", "least")
+
+
 def _rows(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, doc_id, n_shingles, cid, check) of every document; key and doc_id find its text again."""
+    """(key, doc_id, n, cid, check) and the counts of every document; key and doc_id find its text again."""
+    names = ["key", "doc_id", "n", "cid", "check", *FACTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, check = [], [], []
+            made = []
             for text in batch.column("text"):
                 elements = shingles(text.as_py())
-                n.append(len(elements))
-                a, b = class_of(elements, seed)
-                cid.append(a)
-                check.append(b)
+                made.append((len(elements), *class_of(elements, seed), *counts(elements)))
+            columns = list(zip(*made, strict=True)) or [()] * (len(names) - 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id")]
-                + [pa.array(x, pa.int64()) for x in (n, cid, check)],
-                names=["key", "doc_id", "n_shingles", "cid", "check"],
+                [batch.column("key"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)],
+                names=names,
             )
 
-    return docs.mapInArrow(run, "key long, doc_id long, n_shingles long, cid long, check long")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+SETS = "cid long, n long, elements binary"
 
 
 def _sets(texts: DataFrame, seed: int, once: bool) -> DataFrame:
@@ -358,14 +397,15 @@ def _sets(texts: DataFrame, seed: int, once: bool) -> DataFrame:
                     rows, size = [], 0
             yield _set_batch(rows)
 
-    return texts.mapInArrow(run, "cid long, n long, elements binary")
+    return texts.mapInArrow(run, SETS)
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 3
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in SETS.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cid", "n", "elements"]
+        [pa.array(c, pa.binary() if x == "elements" else pa.int64()) for c, x in zip(columns, names, strict=True)],
+        names=names,
     )
 
 
@@ -375,7 +415,7 @@ def _level_one(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sigs, classes = [], []
+            sigs, classes, held = [], [], 0
             for text in batch.column("text"):
                 elements = shingles(text.as_py())
                 cid = class_of(elements, seed)[0]
@@ -384,14 +424,20 @@ def _level_one(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
                 seen.add(cid)
                 sigs.append(signatures(elements))
                 classes.append(np.full(len(sigs[-1]), cid, np.int64))
+                held += len(sigs[-1])
+                if held > HELD:
+                    yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
+                    sigs, classes, held = [], [], 0
             if sigs:
                 yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
 
     return docs.select("text").mapInArrow(run, PACKED)
 
 
-def near_duplicates(docs: DataFrame, few: int = FEW, levels: int = LEVELS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cid), one row per row of ``docs``."""
+def near_duplicates(
+    docs: DataFrame, few: int = FEW, levels: int = LEVELS, block_classes: int = BLOCK_CLASSES
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, kept), one row per row of ``docs``; ``key`` hashes its text."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -401,35 +447,137 @@ def near_duplicates(docs: DataFrame, few: int = FEW, levels: int = LEVELS) -> Da
         if clash.where("low <> high").isEmpty():
             break
     edges = stored(_edges(_level_one(texts, seed, buckets), buckets), "signatures")
-    sets = stored(_candidate_sets(texts, rows, edges, seed), "sets")
-    links = None
-    for level in range(1, levels + 2):
-        best = (
-            edges.groupBy("cid", "leader").count()
-            .groupBy("cid").agg(F.max(F.struct("count", "leader")).alias("best"))
-            .select(F.col("cid").alias("a"), F.col("best.leader").alias("b"))
-        )
-        found = _compared(best, sets)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        members = stored(_open_members(edges, components(links)), "open")
-        if members.isEmpty():
-            break
-        many = members.where(F.lit(level <= levels) & (F.col("members") > few))
-        small = members.where(F.lit(level > levels) | (F.col("members") <= few))
-        found = _compared(_pairs(small), sets)
+    facts = rows.where("n > 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", *FACTS)])
+    members = _supported(_members(edges), facts)
+    asked = members.select("cid").distinct()
+    facts = stored(facts.join(asked, "cid", "left_semi"), "facts")
+    sets = stored(_candidate_sets(texts, rows, asked, seed), "sets")
+    families = components(_ties(members, facts))
+    links = stored(_within(families, sets, block_classes, buckets), "links")
+    for level in range(levels + 1):
+        open_ = stored(_open(members, families), "open")
+        small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
+        large = stored(open_.where(~small), "large")
+        pairs = _counted_pairs(open_.where(small), large, facts, exact=level == 0)
+        found = _compared(stored(pairs, "pairs"), sets)
         links = stored(links.unionByName(found), "links")
-        if many.isEmpty():
+        if large.isEmpty():
             break
-        inside = many.groupBy("cid").agg(F.collect_set("sig").alias("inside"))
-        edges = stored(
-            _edges(_emit(sets.join(inside, "cid"), level, buckets), buckets), "signatures"
+        least = F.greatest("least", F.lit(1)) if level == 0 else F.lit(1)
+        inside = (
+            large.groupBy("cid")
+            .agg(F.collect_set("sig").alias("inside"))
+            .join(facts.select("cid", "least"), "cid")
+            .where(F.size("inside") >= least)
+            .select("cid", "inside")
         )
+        edges = stored(_edges(_emit(sets.join(inside, "cid"), level + 1, buckets), buckets), "signatures")
+        members = stored(_members(edges), "members")
     return _labelled(rows, components(links))
 
 
-def _candidate_sets(texts: DataFrame, rows: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
-    """The sets of the classes that share a signature, each made from one text of its class."""
-    asked = edges.select("cid").unionByName(edges.select(F.col("leader").alias("cid"))).distinct()
+def _ties(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): each class with the leader that it shares most signatures with, if these are a quarter of its own."""
+    ranks = members.groupBy("cid").agg(F.count(F.lit(1)).alias("rank"))
+    lead = members.join(ranks, "cid").groupBy("sig").agg(F.max(F.struct("rank", "cid")).alias("lead"))
+    shared = (
+        members.join(lead.select("sig", F.col("lead.cid").alias("b")), "sig")
+        .where("cid <> b")
+        .groupBy("cid", "b")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    best = shared.groupBy("cid").agg(F.max(F.struct("n", "b")).alias("best"))
+    return (
+        best.join(facts.select("cid", "own"), "cid")
+        .where("best.n * 4 >= own")
+        .select(F.col("cid").alias("a"), F.col("best.b").alias("b"))
+    )
+
+
+def _within(families: DataFrame, sets: DataFrame, block_classes: int, parts: int) -> DataFrame:
+    """(a, b): edges that connect the similar classes of each family."""
+    placed = families.join(sets, "cid")
+    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("classes") / block_classes), F.ceil(F.col("total") * 8 / BLOCK_BYTES))
+    placed = placed.join(sizes.select("comp", blocks.cast("int").alias("blocks")), "comp")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select(
+        "comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cid", "elements"
+    )
+    key = ["comp", "low", "high"]
+    ordered = keyed.repartition(parts, *key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cids, elements = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+            for k, cid, data in zip(keys, batch.column("cid").to_pylist(), batch.column("elements"), strict=True):
+                if k != now:
+                    yield from _block_edges(cids, elements)
+                    now, cids, elements = k, [], []
+                cids.append(cid)
+                elements.append(np.frombuffer(data.as_py(), np.uint64))
+        yield from _block_edges(cids, elements)
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _block_edges(cids: list[int], elements: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One edge from each class to the first of those it is connected with inside the block."""
+    m = len(cids)
+    if m < 2:
+        return
+    sizes = np.array([len(e) for e in elements])
+    _, column, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    several = count > 1
+    place = np.cumsum(several) - 1
+    use = several[column]
+    owner, column = owner[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((m, m), np.float32)
+    width = 2048
+    for start in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, [start, start + width])
+        table = np.zeros((m, width), np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        both += table @ table.T
+    similar = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    first = np.full(m, -1)
+    for i in range(m):
+        if first[i] < 0:
+            reached = similar[i].copy()
+            reached[i] = True
+            todo = np.flatnonzero(reached & (first < 0))
+            while len(todo):
+                first[todo] = i
+                todo = np.flatnonzero(similar[todo].any(0) & (first < 0))
+    at = np.flatnonzero(first != np.arange(m))
+    names = np.array(cids, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[first[at]])], names=["a", "b"])
+
+
+def _supported(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``members`` without classes that share too few signatures for any similar pair, and what then stands alone."""
+    members = stored(members, "members")
+    for _ in range(2):
+        enough = (
+            members.groupBy("cid")
+            .agg(F.count(F.lit(1)).alias("shared"))
+            .join(facts.select("cid", "least"), "cid")
+            .where("shared >= least")
+            .select("cid")
+        )
+        members = stored(members.join(enough, "cid", "left_semi"), "members")
+        several = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+        members = stored(members.join(several, "sig", "left_semi"), "members")
+    return members
+
+
+def _candidate_sets(texts: DataFrame, rows: DataFrame, asked: DataFrame, seed: int) -> DataFrame:
+    """The sets of the classes asked for, each made from one text of its class."""
     one = (
         rows.join(asked, "cid")
         .groupBy("cid")
@@ -440,61 +588,83 @@ def _candidate_sets(texts: DataFrame, rows: DataFrame, edges: DataFrame, seed: i
     return _sets(texts.join(one, same, "left_semi"), seed, once=True).dropDuplicates(["cid"])
 
 
-def _open_members(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, cid, comp, members) of the signatures whose classes are in two or more components."""
-    of = lambda name: comps.select(
-        F.col("cid").alias(name), F.col("comp").alias(f"{name}_comp")
-    )
-    labelled = edges.join(of("cid"), "cid", "left").join(of("leader"), "leader", "left")
-    labelled = labelled.select(
-        "sig", "cid", "leader",
-        F.coalesce("cid_comp", "cid").alias("comp"),
-        F.coalesce("leader_comp", "leader").alias("leader_comp"),
-    )
-    counted = labelled.groupBy("sig").agg(
-        (F.count(F.lit(1)) + 1).alias("members"),
-        F.max(F.expr("comp <> leader_comp")).alias("open"),
-    )
-    opened = labelled.join(counted.where("open").drop("open"), "sig")
-    return (
-        opened.select("sig", "cid", "comp", "members")
-        .unionByName(
-            opened.select("sig", F.col("leader").alias("cid"), F.col("leader_comp").alias("comp"), "members")
-        )
-        .distinct()
+def _members(edges: DataFrame) -> DataFrame:
+    """(sig, cid): the classes of every signature of two or more."""
+    return edges.select("sig", "cid").unionByName(
+        edges.select("sig", F.col("leader").alias("cid")).distinct()
     )
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of classes that share a signature and are in different components."""
-    left = members.select("sig", F.col("cid").alias("a"), F.col("comp").alias("a_comp"))
-    right = members.select("sig", F.col("cid").alias("b"), F.col("comp").alias("b_comp"))
-    return left.join(right, "sig").where("a < b and a_comp <> b_comp").select("a", "b").distinct()
+def _open(members: DataFrame, families: DataFrame) -> DataFrame:
+    """(sig, cid, comp, members, pairs) of the signatures whose classes are in two or more families.
+
+    ``comp`` is the family, ``pairs`` the number of pairs of the signature's classes across families.
+    """
+    labelled = members.join(families, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    by_comp = labelled.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
+    by_sig = by_comp.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("comps"),
+        F.sum("n").alias("members"),
+        F.sum(F.col("n") * F.col("n")).alias("squares"),
+    )
+    by_sig = by_sig.where("comps > 1").select(
+        "sig", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).alias("pairs")
+    )
+    return labelled.join(by_sig, "sig")
+
+
+def _counted_pairs(small: DataFrame, large: DataFrame, facts: DataFrame, exact: bool) -> DataFrame:
+    """Pairs across families that share enough signatures; a signature in ``large`` counts for both."""
+    left = small.select("sig", F.col("cid").alias("a"), F.col("comp").alias("a_comp"))
+    right = small.select("sig", F.col("cid").alias("b"), F.col("comp").alias("b_comp"))
+    shared = left.join(right, "sig").where("a < b and a_comp <> b_comp")
+    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    if not exact:
+        return shared.select("a", "b")
+    bonus = large.groupBy("cid").agg(F.count(F.lit(1)).alias("bonus"))
+    facts = facts.select("cid", "n", "band", "own", "below").join(bonus, "cid", "left")
+    facts = facts.select("cid", F.struct("n", "band", "own", "below", F.coalesce("bonus", F.lit(0)).alias("bonus")).alias("f"))
+    shared = shared.join(facts.select(F.col("cid").alias("a"), F.col("f").alias("x")), "a")
+    shared = shared.join(facts.select(F.col("cid").alias("b"), F.col("f").alias("y")), "b")
+    band = F.least("x.band", "y.band")
+    most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - PERCENT) / (100 + PERCENT))
+    sigs = lambda s: F.when(F.col(f"{s}.band") == band, F.col(f"{s}.own")).otherwise(F.col(f"{s}.below"))
+    enough = F.greatest(sigs("x"), sigs("y")) - most
+    return shared.where(F.col("shared") + F.least("x.bonus", "y.bonus") >= enough).select("a", "b")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    filled = rows.where("n_shingles > 0").join(comps, "cid", "left")
-    filled = filled.withColumn("comp", F.coalesce("comp", "cid"))
-    least = filled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = filled.join(least, "comp", "left").select("doc_id", "n_shingles", "component_id", "cid")
-    none = rows.where("n_shingles = 0")
-    return out.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cid"))
+    filled = rows.where("n > 0").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    # A real id comes before none; of rows with one id, the smaller text hash.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = filled.groupBy("comp").agg(F.min(place).alias("first"))
+    out = filled.join(least, "comp", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.col("first.doc_id").alias("component_id"),
+        "key",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("kept"),
+    )
+    none = rows.where("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.lit(True).alias("kept")
+    )
+    return out.unionByName(none)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near duplicates the one with the smallest doc_id.
 
-    A document without words is in no group and stays, as does one without a doc_id whose
-    group has no id at all.
+    A document without words is in no group and stays. Rows that repeat both doc_id and
+    text are one document.
     """
-    found = near_duplicates(docs)
-    drop = stored(
-        found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("d_id")).distinct(), "dropped"
+    kept = stored(
+        near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key")), "kept"
     )
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["d_id"]), "left_anti")
-    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    same = docs["doc_id"].eqNullSafe(kept["k_id"]) & (F.xxhash64("text") == kept["k_key"])
+    out = docs.join(kept, same, "left_semi")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from tallyframe.llm.columns import LOWER_ASCII, read
 from tallyframe.llm.partenum_join import (
+    _block_edges,
     components,
     counts,
     keep_one,
@@ -50,7 +51,7 @@ def got(df):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
 
 
-def near_copies(seed, bases=12, copies=14, words=60, shared=None):
+def near_copies(seed, bases=8, copies=10, words=60, shared=None):
     """Groups of near copies around the threshold, some with a passage that all groups share."""
     rng = random.Random(seed)
     rows = []
@@ -67,7 +68,7 @@ def near_copies(seed, bases=12, copies=14, words=60, shared=None):
 
 
 @pytest.mark.parametrize(
-    "settings", [{}, {"few": 0, "levels": 2}, {"few": 1, "rounds": 0}], ids=["usual", "splitting", "no leaders"]
+    "settings", [{}, {"block_classes": 4}, {"few": 0, "levels": 1}], ids=["usual", "blocks", "splitting"]
 )
 def test_components_match_brute_force(spark, settings):
     rows = near_copies(1, shared=[f"p{i}" for i in range(12)])
@@ -120,3 +121,21 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(300).selectExpr("id + 1 as a", "id as b")
     rows = components(links).collect()
     assert len(rows) == 301 and {r.comp for r in rows} == {0}
+
+
+def test_a_block_connects_exactly_its_similar_sets():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(5, 60)], rng.integers(1, 50))) for _ in range(120)]
+    (batch,) = _block_edges(list(range(120)), sets)
+    root = dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    same = lambda i, j: root.get(i, i) == root.get(j, j)
+    reach = {i: {i} for i in range(120)}
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and reach[i] is not reach[j]:
+                reach[i] |= reach[j]
+                for k in reach[j]:
+                    reach[k] = reach[i]
+    assert all(same(i, j) == (j in reach[i]) for i in range(120) for j in range(120))
