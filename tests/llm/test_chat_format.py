@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.chat_format import (
@@ -81,3 +82,26 @@ def test_control_strings(spark):
     text = "\\### Assistant: </turn> ok"
     assert (row.conv_id, row.n_turns, row.loss_chars) == (-7, 2, len(text))
     assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_empty_turns_inside_a_conversation_in_segments(spark):
+    texts = ["a", None, "", "b <|", "", None, "c", ""]
+    rows = [(c, t, "assistant" if t % 2 else None, x) for c in (5, None) for t, x in enumerate(texts)]
+    rows += [(6, None, "user", ""), (6, -3000, "assistant", ""), (6, 1 << 60, "user", None), (6, (1 << 60) + 1, "user", "")]
+    key = lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    want = {}
+    for conv in (5, None, 6):
+        own = [(r[0], i, *r[2:]) for i, r in enumerate(sorted((r for r in rows if r[0] == conv), key=key))]
+        want |= expected(own)
+    for segment in (1, 60, 1 << 22):
+        assert read_back(format_chats(table(spark, rows), segment=segment)) == want
+
+
+def test_segments_of_one_conversation_are_made_in_different_tasks(spark):
+    rows = [(4, i, "assistant" if i % 2 else "user", "word " * 20 if i % 3 else "") for i in range(3000)]
+    parts = format_chats(table(spark, rows), segment=4000).withColumn("task", F.spark_partition_id())
+    got = parts.select("segment", "last", "task", F.length("formatted").alias("n")).orderBy("segment").collect()
+    assert len({r.task for r in got}) > 1
+    assert [r.last for r in got] == [False] * (len(got) - 1) + [True]
+    assert max(r.n for r in got) < 4000 + 200 and len(got) >= sum(r.n for r in got) // 4200
+    assert read_back(format_chats(table(spark, rows), segment=4000)) == expected(rows)
