@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tallyframe.llm.columns import read
-from tallyframe.llm.scratch import new_dir
-from tallyframe.llm.tokens import encoder
+from tallyframe.llm.scratch import new_dir, stored
+from tallyframe.llm.tokens import BYTE_BPE, WORD_BPE, encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 WORDS, BYTES = "words-1", "utf8-bytes-1"
+BYTE_VERSION, WORD_VERSION = "byte_bpe_50k", "word_bpe_49k"
 
 
 def token_count(text: Column, version: str, tokenizer: str | None = None) -> Column:
@@ -150,27 +151,25 @@ class Rollups:
         )
 
 
-def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, revised to another tokenizer version, and their copies deleted.
+def revised(docs: DataFrame, before: str, after: str, tokenizers: dict[str, str] | None = None) -> DataFrame:
+    """Totals once all documents are inserted, revised to another tokenizer version, and their copies deleted.
 
-    Every batch is sent twice, as after a failure between commit and reply.
+    Every text is counted once per version. Every batch is sent twice, as after a failure
+    between commit and reply.
     """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    words = image(WORDS, token_count(F.col("text"), WORDS))
-    bytes_ = image(BYTES, token_count(F.col("text"), BYTES))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    hashed = docs.withColumn("digest", digest)
-    kept = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep")).withColumnRenamed("digest", "d")
-    copies = hashed.select(
-        "doc_id", "source", "lang", "digest", token_count(F.col("text"), BYTES).alias("n")
-    ).join(kept, F.col("digest") == F.col("d"))
-    copies = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    rollups = Rollups(spark, new_dir(spark, "rollups"))
+    files = tokenizers or {}
+    old, new = (token_count(F.col("text"), v, files.get(v)) for v in (before, after))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    counted = stored(docs.select("doc_id", "source", "lang", digest, old.alias("old"), new.alias("new")), "counts")
+    first, second = image(before, F.col("old")), image(after, F.col("new"))
+    kept = counted.groupBy("digest").agg(F.max("doc_id").alias("keep")).withColumnRenamed("digest", "d")
+    copies = counted.join(kept, F.col("digest") == F.col("d")).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    rollups = Rollups(docs.sparkSession, new_dir(docs.sparkSession, "rollups"))
     batches = {
-        "1-insert": changes(docs, None, words),
-        "2-revise": changes(docs, words, bytes_),
-        "3-insert-words": changes(docs, None, words),
-        "4-delete-copies": changes(copies, image(BYTES, F.col("n")), None),
+        "1-insert": changes(counted, None, first),
+        "2-revise": changes(counted, first, second),
+        "3-insert-again": changes(counted, None, first),
+        "4-delete-copies": changes(copies, second, None),
     }
     for batch_id, batch in batches.items():
         rollups.commit(batch_id, batch)
@@ -179,6 +178,16 @@ def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.totals()
 
 
+def tokenizer_rollups(docs: DataFrame) -> DataFrame:
+    """``revised`` from the byte-level to the word-level public tokenizer."""
+    return revised(docs, BYTE_VERSION, WORD_VERSION, {BYTE_VERSION: BYTE_BPE, WORD_VERSION: WORD_BPE})
+
+
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``revised`` from words to bytes, which SQL can count; ``tokenizer_rollups`` counts tokens."""
+    return revised(read(spark, sf_dir, "documents"), WORDS, BYTES)
+
+
 OP2_SQL = """
 WITH rows AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents

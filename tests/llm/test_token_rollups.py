@@ -1,7 +1,10 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tallyframe.llm.token_rollups import BYTES, WORDS, Rollups, changes, image, token_count
-from tallyframe.llm.tokens import BYTE_BPE, Encoder
+from tallyframe.llm.token_rollups import BYTES, WORDS, Rollups, changes, image, token_count, tokenizer_rollups
+from tallyframe.llm.tokens import BYTE_BPE, WORD_BPE, Encoder
 
 from tests.llm.helpers import table
 
@@ -60,3 +63,24 @@ def test_counts_of_a_real_tokenizer(spark):
     docs = table(spark, [r for r in ROWS if r[1]])
     got = docs.select("text", token_count(F.col("text"), "byte-bpe", BYTE_BPE).alias("n")).collect()
     assert all(r.n == len(Encoder(BYTE_BPE).ids(r.text)) // 4 for r in got)
+
+
+def test_all_documents_under_both_tokenizers(spark):
+    rows = [*ROWS, (6, "three", "en", "b"), (7, "漢字漢字 without-spaces", "zh", "a"), (8, None, "en", "a"), (9, "", "en", "a")]
+    keep = {}
+    for i, t, *_ in rows:
+        keep[t or ""] = max(keep.get(t or "", i), i)
+    want = Counter()
+    for version, path in (("byte_bpe_50k", BYTE_BPE), ("word_bpe_49k", WORD_BPE)):
+        whole = Tokenizer.from_file(path)
+        for i, t, lang, source in rows:
+            if version == "byte_bpe_50k" or keep[t or ""] == i:
+                n = len(whole.encode(t or "", add_special_tokens=False).ids)
+                key = (source, lang, version)
+                want[key, "docs"] += 1
+                want[key, "tokens"] += n
+    got = tokenizer_rollups(table(spark, rows)).collect()
+    keys = {k for k, _ in want}
+    assert {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in got} == {
+        k: (want[k, "docs"], want[k, "tokens"]) for k in keys
+    }
