@@ -157,13 +157,14 @@ def exact_groups(docs: DataFrame, printer: Fingerprinter | None = None) -> DataF
 
     ``part`` tells apart different texts of one fingerprint; it is null where there is one text.
     """
-    printed = with_fingerprints(docs.select("doc_id", "text"), printer)
-    rows = stored(printed.drop("text"), "prints")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = stored(with_fingerprints(texts, printer).drop("text"), "prints")
     repeated = rows.groupBy(*PRINT).count().where("count > 1")
-    suspects = rows.join(repeated, list(PRINT), "left_semi").select("doc_id", *PRINT).distinct()
-    suspects = suspects.withColumnsRenamed({"doc_id": "s_id"} | {c: f"s_{c}" for c in PRINT})
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(suspects, texts["doc_id"].eqNullSafe(suspects["s_id"])).select(
+    suspects = rows.join(repeated, list(PRINT), "left_semi").select("doc_id", "hash", *PRINT).distinct()
+    suspects = suspects.withColumnsRenamed({c: f"s_{c}" for c in ("doc_id", "hash", *PRINT)})
+    # By the hash too: rows that share an id, such as null, meet their own fingerprint only.
+    own = texts["doc_id"].eqNullSafe(suspects["s_doc_id"]) & (texts["hash"] == suspects["s_hash"])
+    texts = texts.join(suspects, own).select(
         "doc_id", "text", *[F.col(f"s_{c}").alias(c) for c in PRINT]
     )
     compared = (
@@ -175,7 +176,7 @@ def exact_groups(docs: DataFrame, printer: Fingerprinter | None = None) -> DataF
         .distinct()
     )
     clashes = stored(compared, "clashes")
-    rows = rows.withColumn("part", F.lit(None).cast("string"))
+    rows = rows.drop("hash").withColumn("part", F.lit(None).cast("string"))
     if not clashes.isEmpty():
         rows = _split_clashes(docs, rows, clashes, printer)
     return _choose(rows)

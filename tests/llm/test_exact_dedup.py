@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from tallyframe.llm import exact_dedup
 from tallyframe.llm.exact_dedup import CHUNK, Fingerprinter, drop_copies, exact_groups
 
 from tests.llm.helpers import table
@@ -65,3 +66,14 @@ def test_fingerprints_combine_whatever_the_chunks():
         for byte in data:
             value = (value * x + byte) % p
         assert value == h
+
+
+def test_rows_that_share_an_id_meet_their_own_fingerprint_only(spark, monkeypatch):
+    rows = [(i, f"text {n}") for i in (None, 7) for n in range(5)] * 2
+    compared = []
+    pieces = exact_dedup._pieces
+    monkeypatch.setattr(exact_dedup, "_pieces", lambda df: compared.append(df.count()) or pieces(df))
+    monkeypatch.setattr(exact_dedup, "_split_clashes", lambda *_: pytest.fail("no text clashes"))
+    got = exact_groups(table(spark, rows)).collect()
+    assert compared == [len(rows)]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == expected(rows)
