@@ -34,8 +34,6 @@ CUT = re.compile(rf" (?<=\S )(?=[{LETTERS}])")
 #: Words of a piece with nothing else in it; a line break only where a visible character follows.
 BYTE_WORDS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?=[{LETTERS}0-9{MARKS}])")
 WORD_WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
-#: A word and the marks behind it.
-TAILED = re.compile(rf"([{LETTERS}]+)([{MARKS}]*)")
 WORD_PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS} \n]*")
 
 
@@ -78,7 +76,6 @@ class Encoder:
         ends = parts["model"].get("end_of_word_suffix")
         kind = (parts["pre_tokenizer"] or {}).get("type")
         self.kind = "word" if ends else "byte" if kind == "ByteLevel" else "other"
-        self.space = " " if self.kind == "byte" else ""
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.pieces, self.words = Memory(remembered), Memory(remembered)
@@ -111,27 +108,6 @@ class Encoder:
             words = WORD_WORDS.findall(piece.lower()) if plain else []
         return b"".join(map(self._word, words)) if plain else self._whole(piece)
 
-    def _after_space(self, piece: str) -> bytes:
-        """The ids of a piece that a space precedes; remembers it."""
-        found = self.pieces.get(piece)
-        if found is None:
-            word = TAILED.fullmatch(piece)
-            if word is None:
-                found = self._piece(self.space + piece)
-            elif tail := word[2]:
-                found = self._after_space(word[1]) + self._word(tail)
-            else:
-                found = self._merged(self.space + piece if self.space else piece.lower())
-            self.pieces.put(piece, found)
-        return found
-
-    def _span(self, text: str) -> bytes:
-        first, *rest = CUT.split(text)
-        out = list(map(self.pieces.recent.get, rest))
-        if None in out:
-            out = [self._after_space(p) if found is None else found for p, found in zip(rest, out, strict=True)]
-        return self._piece(first) + b"".join(out)
-
     def _span(self, text: str) -> bytes:
         first, *rest = CUT.split(text)
         out = list(map(self.pieces.recent.get, rest))

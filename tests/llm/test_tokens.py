@@ -1,3 +1,5 @@
+import ast
+import inspect
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -26,3 +28,9 @@ def test_long_text(path):
     ids = WHOLE[path].encode(text, add_special_tokens=False).ids
     assert ENCODERS[path].ids(text) == np.array(ids, "<u4").tobytes()
     assert ENCODERS[path].ids(None) == b""
+
+
+def test_no_method_of_the_encoder_is_defined_twice():
+    tree = ast.parse(inspect.getsource(Encoder))
+    names = [x.name for x in tree.body[0].body if isinstance(x, ast.FunctionDef)]
+    assert len(names) == len(set(names))
