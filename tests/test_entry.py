@@ -1,5 +1,10 @@
 """The driver contract, and every registered query against its SQL in DuckDB."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -32,9 +37,36 @@ def test_every_query_of_the_library_has_sql():
     assert contract.oracle_sql().keys() <= contract.queries().keys()
 
 
-def test_optional_parts_may_be_missing(monkeypatch):
-    monkeypatch.setattr(contract.importlib.util, "find_spec", lambda name: None)
-    assert list(contract.queries()) == list(contract.oracle_sql()) == OWN
+@pytest.mark.parametrize(
+    "deleted",
+    [("tallyframe/llm",), ("corpus_pipeline.py",), ("tallyframe/llm", "corpus_pipeline.py")],
+    ids=["operators", "pipeline", "both"],
+)
+def test_optional_parts_may_be_deleted(deleted, tmp_path):
+    """Run in a copy of the repository in which the parts are really not there."""
+    root = Path(contract.__file__).resolve().parent
+    copy = tmp_path / "copy"
+    skip = {root / part for part in deleted}
+    copy.mkdir()
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if root / name not in skip:
+            shutil.copy(root / name, copy / name)
+    shutil.copytree(
+        root / "tallyframe",
+        copy / "tallyframe",
+        ignore=lambda folder, names: {n for n in names if n == "__pycache__" or Path(folder) / n in skip},
+    )
+    code = "import __spark_entry__ as e; print(*e.queries(), '|', *e.oracle_sql())"
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, check=False
+    )
+    assert run.returncode == 0, run.stderr
+    names, sql = (x.split() for x in run.stdout.split("|"))
+    there = (root / "tallyframe/llm").is_dir() and "tallyframe/llm" not in deleted
+    assert [n for n in names if n in OWN] == [n for n in sql if n in OWN] == OWN
+    assert there == any(n.startswith("op") for n in names)
+    if "corpus_pipeline.py" in deleted or not there:
+        assert "pipeline" not in names
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
