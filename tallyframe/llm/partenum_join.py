@@ -1,40 +1,47 @@
 """Near duplicates by the Jaccard similarity of word shingles, with PartEnum signatures.
 
 Two sets of sizes a and b with 100 * |intersection| >= 75 * |union| differ in at most
-H = (a + b) / 7 elements. Sizes are cut into bands of ratio 4/3; a pair belongs to the
-band of its smaller set, so a set takes part in its own band and, as the larger one, in
-the band below. Each band cuts the domain of shingles into a fixed number of partitions.
-A signature is one non-empty partition together with the set's elements in it. Each
-differing element spoils one partition at most, so of S signatures two similar sets
-share at least S - H. A set for which S - H could be zero also emits its smallest single
-elements as signatures, one more than H; so every similar pair shares a signature.
+(a + b) / 7 elements. Sizes are cut into bands of ratio 4/3; a pair belongs to the band of
+its smaller set, so a set takes part in its own band and, as the larger one, in the band
+below. With H the most differences of a band, the domain of shingles is cut on two levels:
+
+- n1 first-level partitions, n1 = floor(H / (k2 + 1)) + g. Of these, at least g hold k2
+  differences or fewer (they are good).
+- n2 second-level partitions in each. Every subset of n2 - k2 of them is enumerated, and a
+  signature is such a subset together with the set's elements in it. In a good partition
+  some subset holds no difference, so similar sets share its signature.
+
+A subset without elements says nothing and is no signature. It is all that two similar sets
+share in a good partition only if both occupy k2 second-level partitions or fewer there;
+such a partition is low, and each g low partitions of a set make one more signature. So
+every similar pair shares a signature. For each band, k2, n2 and g are those with which
+unrelated sets share the fewest, within a bound on the number of signatures (``scheme``).
 
 Sharing signatures proposes a pair; the sets themselves are compared before two
 documents are linked. Not all pairs of a signature are compared:
 
 1. Copies (equal sets) are one class. Each signature ties its classes to a leader, on
    the map side first, so that a signature of a third of all rows reaches its shuffle
-   as one row for each task.
-2. Classes that share too few signatures with others to have a similar partner go.
+   as one row for each task. Classes that share no signature are done.
+2. A similar partner holds 75 % of a class's elements or more. Classes of which fewer
+   elements occur in another class that is left go. That rules out what shares a
+   passage, however common, without looking at pairs.
 3. A signature is led by its class with most signatures, and each class joins the leader
-   it shares most of them with, if these are a quarter of its own: classes tied that way
+   it shares most of them with, if these are two and a two hundredth of its size: classes tied that way
    are a family, such as the copies of one text with words changed. Within a family all
    pairs are compared, as products of 0/1 matrices over blocks of bounded size (a large
    family is cut into blocks, and each pair of blocks is a task); a block returns
    one edge for each class at most.
-4. Across families, shared signatures are counted for pairs, and only pairs with at
-   least S - H of them are compared. Passages that many documents share spoil few
-   signatures of each and are ruled out here.
-5. A signature with too many pairs across families is not enumerated. It counts in favour
-   of every pair instead, and classes for which these signatures alone could reach S - H
-   are split by signatures of a further, differently seeded partition of the domain, and
+4. Across families, the pairs of a signature are compared.
+5. A signature with too many pairs across families is not enumerated. Its classes are
+   split by the signatures of a further, differently seeded partition of the domain, and
    step 4 repeats inside. After ``LEVELS`` splits all pairs are enumerated.
 
 Links are closed into components by large star and small star rounds.
 
 Parameters: five words, 75 percent. Shingles are 64-bit hashes. A class is a 64-bit
 fingerprint of its set; a second fingerprint detects two sets of one class, and the join
-then runs anew with another seed.
+then runs anew with another seed (``SEEDS`` of them; if all clash, it raises).
 
 Defined results: a text of fewer than five words has its whole sequence of words as the
 one shingle; a null or empty text has none and links with nothing (its component is its
@@ -44,7 +51,11 @@ a component of null ids only has a null component_id; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +69,14 @@ from tallyframe.llm.scratch import stored
 WORDS = 5
 PERCENT = 75
 #: Pairs across families for each class of a signature, up to which they are enumerated.
-FEW = 64
+FEW = 16
 #: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
+#: Rounds of step 2, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
+BACKED = 2
+TIE = 200
+#: Seeds for classes.
+SEEDS = 8
 BLOCK_CLASSES = 1000
 BLOCK_BYTES = 4 << 20
 
@@ -118,62 +134,103 @@ def band_of(size: int) -> int:
     return int(np.searchsorted(STARTS, size, side="right")) - 1
 
 
-def partitions_of(band: int) -> int:
-    """Enough that even the largest sets of a band have more non-empty partitions than differences."""
-    return (60 * STARTS[band]) // 100 + 3
+def most_differences(band: int) -> int:
+    """The most elements in which two similar sets differ, the smaller of them in this band."""
+    small = STARTS[band + 1] - 1
+    return (small + small * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def roles(size: int) -> list[tuple[int, int]]:
-    """(band, most differences) for each band in which a set of this size takes part."""
-    largest_partner = size * 100 // PERCENT
+def roles(size: int) -> list[int]:
+    """The bands in which a set of this size takes part."""
     own = band_of(size)
-    out = [(own, (size + largest_partner) * (100 - PERCENT) // (100 + PERCENT))]
     below = STARTS[own] - 1  # the largest size of the band below
-    if own and below * 100 >= PERCENT * size:
-        out.append((own - 1, (size + below) * (100 - PERCENT) // (100 + PERCENT)))
-    return out
+    return [own, own - 1] if own and below * 100 >= PERCENT * size else [own]
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How a band is partitioned: n1 x n2 partitions, subsets of n2 - k2, and g good partitions at least."""
+
+    n1: int
+    n2: int
+    k2: int
+    g: int
+
+    @functools.cached_property
+    def subsets(self) -> np.ndarray:
+        """One column of 0 and 1 for each subset of n2 - k2 second-level partitions."""
+        chosen = list(itertools.combinations(range(self.n2), self.n2 - self.k2))
+        out = np.zeros((self.n2, len(chosen)), np.uint64)
+        for column, rows in enumerate(chosen):
+            out[list(rows), column] = 1
+        return out
+
+
+#: Signatures of a set of the least size of its band, at most so many for each element, and besides.
+PER_ELEMENT, BESIDES = 1.0, 40
+
+
+@functools.cache
+def scheme(band: int) -> Scheme | None:
+    """The scheme of a band by which unrelated sets share the fewest signatures; None if no two different sets are similar."""
+    size, most = STARTS[band], most_differences(band)
+    if not most:
+        return None
+    best = None
+    for k2, extra, g in itertools.product(range(min(most, 6) + 1), range(1, 6), range(1, 5)):
+        n1, n2 = most // (k2 + 1) + g, k2 + extra
+        subsets = math.comb(n2, k2)
+        there = 1 - math.exp(-size / n1 / n2)  # a second-level partition is occupied
+        low = sum(math.comb(n2, j) * there**j * (1 - there) ** (n2 - j) for j in range(k2 + 1)) if n2 > k2 else 1
+        lows = (n1 * low) ** g / math.factorial(g)
+        number = n1 * subsets + lows
+        # Sets with a third of their elements in common differ in 4/3 of the size of a set.
+        held = size / n1 * extra / n2
+        # A signature of low partitions has company among all sets of the band.
+        shared = n1 * subsets * math.exp(-held * 4 / 3) + lows
+        if number <= PER_ELEMENT * size + BESIDES and (best is None or shared < best[0]):
+            best = (shared, Scheme(n1, n2, k2, g))
+    return best[1]
 
 
 def signatures(elements: np.ndarray, level: int = 0) -> np.ndarray:
     """All signatures of a set, as hashes."""
-    out = []
+    out = [np.zeros(0, np.uint64)]
     spread = mix(elements, 10 + level) if level else elements
-    value = elements
     with np.errstate(over="ignore"):
-        for band, most in roles(len(elements)):
-            n = partitions_of(band)
-            part = (spread % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.uint64)
+        for band in roles(len(elements)):
+            plan = scheme(band)
+            if plan is None:
+                continue
+            parts = plan.n1 * plan.n2
+            part = (spread % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            content = np.add.reduceat(value[order], first)
-            tag = np.uint64((band << 8) + level)
-            sig = mix(content + part[first].astype(np.uint64) * MULTIPLY[0] + tag * MULTIPLY[1], 3)
-            out.append(sig)
-            if len(sig) <= most:
-                out.append(mix(np.sort(value)[: most + 1] + tag * MULTIPLY[1], 4))
+            first, _ = _runs(part[order])
+            content = np.zeros(parts, np.uint64)
+            content[part[order][first]] = mix(np.add.reduceat(elements[order], first), 2)
+            content = content.reshape(plan.n1, plan.n2)
+            occupied = content != 0
+            held = content @ plan.subsets
+            filled = (occupied.astype(np.uint8) @ plan.subsets.astype(np.uint8)) > 0
+            tag = MULTIPLY[1] * np.uint64((band << 8) + level)
+            number = np.arange(held.size, dtype=np.uint64).reshape(held.shape) * MULTIPLY[0]
+            out.append(mix((held + number + tag)[filled], 3))
+            low = np.flatnonzero(occupied.sum(1) <= plan.k2)
+            if len(low) >= plan.g:
+                named = mix(low.astype(np.uint64), 8)
+                chosen = np.array(list(itertools.combinations(range(len(low)), plan.g)))
+                out.append(mix(named[chosen].sum(1, dtype=np.uint64) + tag, 4))
     return np.concatenate(out)
 
 
-def counts(elements: np.ndarray) -> tuple[int, int, int, int]:
-    """Band, signatures in the own band and in the band below, and how many of them any similar pair shares."""
-    if not len(elements):
-        return 0, 0, 0, 0
-    there, shared = [], []
-    for band, most in roles(len(elements)):
-        n = partitions_of(band)
-        there.append(int(np.count_nonzero(np.bincount((elements % np.uint64(n)).astype(np.int64), minlength=n))))
-        shared.append(there[-1] - most)
-    return band_of(len(elements)), there[0], there[-1], min(shared)
-
-
 # Rows of packed signatures: for one bucket, the classes, how many signatures each has, the
 # signatures' low five bytes; or, with kind 1, edges that a task has found by itself.
 
 PACKED = "bucket int, kind int, classes binary, counts binary, signatures binary"
 LOW_BITS = 40
-#: Signatures that a task holds before it packs them.
+#: Signatures that a task holds before it packs them, and those of a bucket on average.
 HELD = 250_000
+BUCKET = 1 << 20
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +263,10 @@ def _pack(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple]:
     yield from _pack_edges(*edges, buckets)
     stay = np.ones(len(sig), bool)
     stay[done] = False
-    sig, cls = sig[stay], cls[stay]
+    yield from _pack_signatures(sig[stay], cls[stay], buckets)
+
+
+def _pack_signatures(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple]:
     bucket = (sig >> np.uint64(LOW_BITS)) % np.uint64(buckets)
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     sig, cls, bucket = sig[order], cls[order], bucket[order]
@@ -265,35 +325,91 @@ def _emit(sets: DataFrame, level: int, buckets: int) -> DataFrame:
     return sets.mapInArrow(run, PACKED)
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch]:
+    """The signatures and classes of one bucket after another; and the edges among the rows, as they are.
+
+    The rows come in order of bucket, so no more than one bucket is held.
+    """
+    now, sigs, classes = None, [], []
+    for batch in batches:
+        columns = (batch.column(c) for c in ("classes", "counts", "signatures"))
+        for bucket, kind, cls, number, packed in zip(
+            batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), *columns, strict=True
+        ):
+            own = np.frombuffer(cls.as_buffer(), np.int64)
+            if kind:
+                edges = [np.frombuffer(packed.as_buffer(), np.int64), own, np.frombuffer(number.as_buffer(), np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges], names=["sig", "cid", "leader"])
+                continue
+            if bucket != now and sigs:
+                yield np.concatenate(sigs), np.concatenate(classes)
+                sigs, classes = [], []
+            now = bucket
+            low = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, LOW_BITS // 8)
+            sig = np.zeros((len(low), 8), np.uint8)
+            sig[:, : LOW_BITS // 8] = low
+            sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
+            classes.append(np.repeat(own, np.frombuffer(number.as_buffer(), np.int32)))
+    if sigs:
+        yield np.concatenate(sigs), np.concatenate(classes)
+
+
+def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
 def _edges(packed: DataFrame, buckets: int) -> DataFrame:
     """(sig, cid, leader): every class of a signature of two or more, tied to a leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "cid", "leader"]
-        sigs, classes = [], []
-        for batch in batches:
-            for i, (bucket, kind) in enumerate(
-                zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)
-            ):
-                cls, number, packed_ = (batch.column(c)[i].as_buffer() for c in ("classes", "counts", "signatures"))
-                own = np.frombuffer(cls, np.int64)
-                if kind:
-                    columns = [np.frombuffer(packed_, np.int64), own, np.frombuffer(number, np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-                    continue
-                low = np.frombuffer(packed_, np.uint8).reshape(-1, LOW_BITS // 8)
-                sig = np.zeros((len(low), 8), np.uint8)
-                sig[:, : LOW_BITS // 8] = low
-                sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
-                classes.append(np.repeat(own, np.frombuffer(number, np.int32)))
-        if sigs:
-            _, *columns = _edges_within(np.concatenate(sigs), np.concatenate(classes))
+        for found in _unpacked(batches):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            _, *columns = _edges_within(*found)
             for start in range(0, len(columns[0]), 20_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[start : start + 20_000]) for c in columns], names=names
+                    [pa.array(c[start : start + 20_000]) for c in columns], names=["sig", "cid", "leader"]
                 )
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "sig long, cid long, leader long")
+    return _by_bucket(packed, buckets).mapInArrow(run, "sig long, cid long, leader long")
+
+
+# Elements in company
+
+
+def _elements(sets: DataFrame, buckets: int) -> DataFrame:
+    """Packed elements of (cid, elements), in the form of signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, classes, size = [], [], 0
+            for cid, data in zip(batch.column("cid").to_pylist(), batch.column("elements"), strict=True):
+                held.append(np.frombuffer(data.as_buffer(), np.uint64))
+                classes.append(np.full(len(held[-1]), cid, np.int64))
+                size += len(held[-1])
+                if size > HELD:
+                    yield _packed_batch(list(_pack_signatures(np.concatenate(held), np.concatenate(classes), buckets)))
+                    held, classes, size = [], [], 0
+            if held:
+                yield _packed_batch(list(_pack_signatures(np.concatenate(held), np.concatenate(classes), buckets)))
+
+    return sets.select("cid", "elements").mapInArrow(run, PACKED)
+
+
+def _backed(sets: DataFrame, buckets: int) -> DataFrame:
+    """(cid) of the classes of which other classes hold enough elements for a similar partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for element, cls in _unpacked(batches):
+            order = np.argsort(element)
+            _, lengths = _runs(element[order])
+            cids, number = np.unique(cls[order][np.repeat(lengths > 1, lengths)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(number)], names=["cid", "shared"])
+
+    shared = _by_bucket(_elements(sets, buckets), buckets).mapInArrow(run, "cid long, shared long")
+    shared = shared.groupBy("cid").agg(F.sum("shared").alias("shared"))
+    return shared.join(sets.select("cid", "n"), "cid").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cid")
 
 
 # Comparing sets
@@ -352,19 +468,16 @@ def components(links: DataFrame) -> DataFrame:
 # The join
 
 
-FACTS = ("band", "own", "below", "least")
-
-
 def _rows(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, doc_id, n, cid, check) and the counts of every document; key and doc_id find its text again."""
-    names = ["key", "doc_id", "n", "cid", "check", *FACTS]
+    """(key, doc_id, n, cid, check) of every document; key and doc_id find its text again."""
+    names = ["key", "doc_id", "n", "cid", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for text in batch.column("text"):
                 elements = shingles(text.as_py())
-                made.append((len(elements), *class_of(elements, seed), *counts(elements)))
+                made.append((len(elements), *class_of(elements, seed)))
             columns = list(zip(*made, strict=True)) or [()] * (len(names) - 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)],
@@ -438,46 +551,57 @@ def near_duplicates(
     docs: DataFrame, few: int = FEW, levels: int = LEVELS, block_classes: int = BLOCK_CLASSES
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, kept), one row per row of ``docs``; ``key`` hashes its text."""
-    spark = docs.sparkSession
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for seed in range(8):
-        rows = stored(_rows(texts, seed), "shingled")
-        clash = rows.groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-        if clash.where("low <> high").isEmpty():
-            break
-    edges = stored(_edges(_level_one(texts, seed, buckets), buckets), "signatures")
-    facts = rows.where("n > 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", *FACTS)])
-    members = _supported(_members(edges), facts)
-    asked = members.select("cid").distinct()
-    facts = stored(facts.join(asked, "cid", "left_semi"), "facts")
-    sets = stored(_candidate_sets(texts, rows, asked, seed), "sets")
-    families = components(_ties(members, facts))
-    links = stored(_within(families, sets, block_classes, buckets), "links")
+    rows, seed = _classified(texts)
+    facts = rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"))
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets_for = lambda size: max(tasks, math.ceil(size / BUCKET))
+    buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
+    members = stored(_members(stored(_edges(_level_one(texts, seed, buckets), buckets), "signatures")), "members")
+    sets = stored(_candidate_sets(texts, rows, members.select("cid").distinct(), seed), "sets")
+    for _ in range(BACKED):
+        held = sets.agg(F.sum("n")).first()[0] or 0
+        sets = stored(sets.join(_backed(sets, buckets_for(held)), "cid", "left_semi"), "sets")
+    members = _together(members, sets)
+    sizes = sets.select("cid", "n")
+    families = components(_ties(members, sizes))
+    links = stored(_within(families, sets, block_classes, tasks), "links")
     for level in range(levels + 1):
         open_ = stored(_open(members, families), "open")
         small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
         large = stored(open_.where(~small), "large")
-        pairs = _counted_pairs(open_.where(small), large, facts, exact=level == 0)
-        found = _compared(stored(pairs, "pairs"), sets)
+        found = _compared(stored(_pairs(open_.where(small)), "pairs"), sets)
         links = stored(links.unionByName(found), "links")
         if large.isEmpty():
             break
-        least = F.greatest("least", F.lit(1)) if level == 0 else F.lit(1)
-        inside = (
-            large.groupBy("cid")
-            .agg(F.collect_set("sig").alias("inside"))
-            .join(facts.select("cid", "least"), "cid")
-            .where(F.size("inside") >= least)
-            .select("cid", "inside")
-        )
+        inside = large.groupBy("cid").agg(F.collect_set("sig").alias("inside"))
+        size = sizes.join(inside, "cid").agg(F.sum(F.col("n") * F.size("inside"))).first()[0]
+        buckets = buckets_for(2 * PER_ELEMENT * size)
         edges = stored(_edges(_emit(sets.join(inside, "cid"), level + 1, buckets), buckets), "signatures")
         members = stored(_members(edges), "members")
     return _labelled(rows, components(links))
 
 
-def _ties(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b): each class with the leader that it shares most signatures with, if these are a quarter of its own."""
+def _classified(texts: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with their classes, and the seed with which no two sets have one class."""
+    for seed in range(SEEDS):
+        rows = stored(_rows(texts, seed), "shingled")
+        clash = rows.groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        if clash.where("low <> high").isEmpty():
+            return rows, seed
+    raise RuntimeError(f"different sets have one 64-bit fingerprint under each of {SEEDS} seeds")
+
+
+def _together(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` of the classes in ``sets``, without what then stands alone in its signature."""
+    left = stored(members.join(sets.select("cid"), "cid", "left_semi"), "members")
+    several = left.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    return stored(left.join(several, "sig", "left_semi"), "members")
+
+
+def _ties(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): each class with the leader that it shares most signatures with, if these are enough."""
     ranks = members.groupBy("cid").agg(F.count(F.lit(1)).alias("rank"))
     lead = members.join(ranks, "cid").groupBy("sig").agg(F.max(F.struct("rank", "cid")).alias("lead"))
     shared = (
@@ -488,8 +612,8 @@ def _ties(members: DataFrame, facts: DataFrame) -> DataFrame:
     )
     best = shared.groupBy("cid").agg(F.max(F.struct("n", "b")).alias("best"))
     return (
-        best.join(facts.select("cid", "own"), "cid")
-        .where("best.n * 4 >= own")
+        best.join(sizes, "cid")
+        .where(f"best.n >= 2 and best.n * {TIE} >= n")
         .select(F.col("cid").alias("a"), F.col("best.b").alias("b"))
     )
 
@@ -559,23 +683,6 @@ def _block_edges(cids: list[int], elements: list[np.ndarray]) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[first[at]])], names=["a", "b"])
 
 
-def _supported(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """``members`` without classes that share too few signatures for any similar pair, and what then stands alone."""
-    members = stored(members, "members")
-    for _ in range(2):
-        enough = (
-            members.groupBy("cid")
-            .agg(F.count(F.lit(1)).alias("shared"))
-            .join(facts.select("cid", "least"), "cid")
-            .where("shared >= least")
-            .select("cid")
-        )
-        members = stored(members.join(enough, "cid", "left_semi"), "members")
-        several = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-        members = stored(members.join(several, "sig", "left_semi"), "members")
-    return members
-
-
 def _candidate_sets(texts: DataFrame, rows: DataFrame, asked: DataFrame, seed: int) -> DataFrame:
     """The sets of the classes asked for, each made from one text of its class."""
     one = (
@@ -613,24 +720,11 @@ def _open(members: DataFrame, families: DataFrame) -> DataFrame:
     return labelled.join(by_sig, "sig")
 
 
-def _counted_pairs(small: DataFrame, large: DataFrame, facts: DataFrame, exact: bool) -> DataFrame:
-    """Pairs across families that share enough signatures; a signature in ``large`` counts for both."""
+def _pairs(small: DataFrame) -> DataFrame:
+    """(a, b): the pairs across families that share a signature."""
     left = small.select("sig", F.col("cid").alias("a"), F.col("comp").alias("a_comp"))
     right = small.select("sig", F.col("cid").alias("b"), F.col("comp").alias("b_comp"))
-    shared = left.join(right, "sig").where("a < b and a_comp <> b_comp")
-    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    if not exact:
-        return shared.select("a", "b")
-    bonus = large.groupBy("cid").agg(F.count(F.lit(1)).alias("bonus"))
-    facts = facts.select("cid", "n", "band", "own", "below").join(bonus, "cid", "left")
-    facts = facts.select("cid", F.struct("n", "band", "own", "below", F.coalesce("bonus", F.lit(0)).alias("bonus")).alias("f"))
-    shared = shared.join(facts.select(F.col("cid").alias("a"), F.col("f").alias("x")), "a")
-    shared = shared.join(facts.select(F.col("cid").alias("b"), F.col("f").alias("y")), "b")
-    band = F.least("x.band", "y.band")
-    most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - PERCENT) / (100 + PERCENT))
-    sigs = lambda s: F.when(F.col(f"{s}.band") == band, F.col(f"{s}.own")).otherwise(F.col(f"{s}.below"))
-    enough = F.greatest(sigs("x"), sigs("y")) - most
-    return shared.where(F.col("shared") + F.least("x.bonus", "y.bonus") >= enough).select("a", "b")
+    return left.join(right, "sig").where("a < b and a_comp <> b_comp").select("a", "b").distinct()
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:

@@ -7,11 +7,15 @@ import pytest
 from tallyframe.llm.columns import LOWER_ASCII, read
 from tallyframe.llm.partenum_join import (
     _block_edges,
+    PER_ELEMENT,
+    BESIDES,
+    STARTS,
     components,
-    counts,
     keep_one,
+    most_differences,
     near_duplicates,
     roles,
+    scheme,
     signatures,
 )
 
@@ -101,20 +105,69 @@ def test_null_ids(spark):
     assert sorted(str(r.doc_id) for r in keep_one(table(spark, rows)).collect()) == ["3", "None"]
 
 
-def test_similar_sets_share_enough_signatures():
+def random_set(rng, n):
+    return np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+
+
+def similar(a, b):
+    return 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+
+
+def test_similar_sets_share_a_signature():
+    """Also where differences are many and small sets leave partitions empty; at every level."""
     rng = np.random.default_rng(3)
-    for _ in range(3000):
-        both = rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)
-        extra = rng.integers(0, 2**63, int(len(both) / 3)).astype(np.uint64)
+    tried = 0
+    for turn in range(6000):
+        both = random_set(rng, rng.integers(1, 30 if turn % 2 else 700))
+        extra = random_set(rng, int(len(both) / 3))
         cut = rng.integers(0, len(extra) + 1)
         a, b = np.unique(np.append(both, extra[:cut])), np.unique(np.append(both, extra[cut:]))
-        if 100 * len(both) < 75 * len(np.union1d(a, b)):
+        if not similar(a, b) or len(a) == len(b) == len(both):
+            continue
+        tried += 1
+        assert len(np.intersect1d(signatures(a, turn % 3), signatures(b, turn % 3)))
+        assert set(roles(len(a))) & set(roles(len(b)))
+    assert tried > 4000
+
+
+def test_similar_sets_share_a_signature_where_partitions_are_low():
+    """Elements that fall into few partitions, as no random set has them."""
+    rng = np.random.default_rng(9)
+    for size in (15, 21, 40, 120):
+        plan = scheme(roles(size)[0])
+        parts = plan.n1 * plan.n2
+        for _ in range(300):
+            few = rng.choice(parts, min(parts, rng.integers(1, plan.n2 + 3)), replace=False)
+            base = np.unique(rng.integers(0, 2**50, size) * parts + rng.choice(few, size)).astype(np.uint64)
+            other = base.copy()
+            at = rng.choice(len(base), len(base) // 7, replace=False)
+            other[at] = rng.integers(0, 2**50, len(at)).astype(np.uint64) * np.uint64(parts) + other[at] % np.uint64(parts)
+            other = np.unique(other)
+            if similar(base, other) and not np.array_equal(base, other):
+                assert len(np.intersect1d(signatures(base), signatures(other)))
+
+
+def test_schemes_keep_their_promise_and_their_bound():
+    for band in range(40):
+        plan, most = scheme(band), most_differences(band)
+        if plan is None:
+            assert most == 0
             continue
-        shared = len(np.intersect1d(signatures(a), signatures(b)))
-        band = min(counts(a)[0], counts(b)[0])
-        of = lambda x: counts(x)[1] if counts(x)[0] == band else counts(x)[2]
-        assert shared >= max(1, max(of(a), of(b)) - (len(a) + len(b)) // 7)
-        assert {r[0] for r in roles(len(a))} & {r[0] for r in roles(len(b))}
+        # With most differences, spread as badly as can be, g partitions still have k2 or fewer.
+        assert plan.n1 - most // (plan.k2 + 1) >= plan.g >= 1
+        assert plan.subsets.sum(0).tolist() == [plan.n2 - plan.k2] * plan.subsets.shape[1]
+        assert plan.n1 * plan.subsets.shape[1] <= PER_ELEMENT * STARTS[band] + BESIDES
+
+
+def test_a_common_passage_is_seldom_a_signature():
+    rng = np.random.default_rng(1)
+    for size in (160, 500):
+        shared = []
+        for _ in range(40):
+            both = random_set(rng, int(size * 0.31))
+            a, b = (np.unique(np.append(both, random_set(rng, size - len(both)))) for _ in range(2))
+            shared.append(len(np.intersect1d(signatures(a), signatures(b))))
+        assert np.mean(shared) < 8 and np.mean(shared) < 0.02 * len(signatures(a))
 
 
 def test_components_of_a_long_chain(spark):
