@@ -20,19 +20,22 @@ unrelated sets share the fewest, within a bound on the number of signatures (``s
 Sharing signatures proposes a pair; the sets themselves are compared before two
 documents are linked. Not all pairs of a signature are compared:
 
-1. Copies (equal sets) are one class. Each signature ties its classes to a leader, on
-   the map side first, so that a signature of a third of all rows reaches its shuffle
-   as one row for each task. Classes that share no signature are done.
-2. A similar partner holds 75 % of a class's elements or more. Classes of which fewer
-   elements occur in another class that is left go. That rules out what shares a
-   passage, however common, without looking at pairs.
+1. Copies (equal sets) are one class. A similar partner holds 75 % of a class's elements
+   or more; a class of which fewer elements occur in other classes has none and goes
+   before it has signatures. That rules out what shares a passage, however common,
+   without looking at pairs. An element of many classes is settled on the map side and
+   reaches its shuffle as one row for each task.
+2. Each signature ties its classes to a leader, on the map side first, in the same way.
+   Classes that share no signature are done.
 3. A signature is led by its class with most signatures, and each class joins the leader
    it shares most of them with, if these are two and a two hundredth of its size: classes tied that way
    are a family, such as the copies of one text with words changed. Within a family all
    pairs are compared, as products of 0/1 matrices over blocks of bounded size (a large
    family is cut into blocks, and each pair of blocks is a task); a block returns
    one edge for each class at most.
-4. Across families, the pairs of a signature are compared.
+4. Across families, the pairs of a signature are compared: first their sketches (numbers
+   of elements in parts of the domain, which differ by no more than the sets do), then,
+   where these are near enough, the sets.
 5. A signature with too many pairs across families is not enumerated. Its classes are
    split by the signatures of a further, differently seeded partition of the domain, and
    step 4 repeats inside. After ``LEVELS`` splits all pairs are enumerated.
@@ -54,12 +57,13 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +73,14 @@ from tallyframe.llm.scratch import stored
 WORDS = 5
 PERCENT = 75
 #: Pairs across families for each class of a signature, up to which they are enumerated.
-FEW = 16
+FEW = 32
 #: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
-#: Rounds of step 2, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
+#: Further rounds of step 1, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
 BACKED = 2
 TIE = 200
+#: Parts of the domain in a sketch.
+SKETCH = 128
 #: Seeds for classes.
 SEEDS = 8
 BLOCK_CLASSES = 1000
@@ -224,13 +230,19 @@ def signatures(elements: np.ndarray, level: int = 0) -> np.ndarray:
 
 
 # Rows of packed signatures: for one bucket, the classes, how many signatures each has, the
-# signatures' low five bytes; or, with kind 1, edges that a task has found by itself.
-
-PACKED = "bucket int, kind int, classes binary, counts binary, signatures binary"
+# signatures' low five bytes. With kind EDGES they are edges that a task has found by itself.
+# Elements are packed in the same form; then COUNTS are numbers of elements of classes that a
+# task has found in company, and KNOWN are elements that it has found in two classes.
+
+PACKED = "bucket int, kind int, part int, classes binary, counts binary, signatures binary"
+PACKED_SCHEMA = pa.schema(
+    [(n, pa.binary() if k == "binary" else pa.int32()) for n, k in (x.split() for x in PACKED.split(", "))]
+)
+OPEN, EDGES, COUNTS, KNOWN = range(4)
 LOW_BITS = 40
 #: Signatures that a task holds before it packs them, and those of a bucket on average.
 HELD = 250_000
-BUCKET = 1 << 20
+BUCKET = 1 << 21
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,20 +275,22 @@ def _pack(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple]:
     yield from _pack_edges(*edges, buckets)
     stay = np.ones(len(sig), bool)
     stay[done] = False
-    yield from _pack_signatures(sig[stay], cls[stay], buckets)
+    yield from _pack_open(sig[stay], cls[stay], buckets)
+
 
+def _low(sig: np.ndarray) -> bytes:
+    return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
 
-def _pack_signatures(sig: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple]:
+
+def _pack_open(sig: np.ndarray, cls: np.ndarray, buckets: int, part: int = 0, kind: int = OPEN) -> Iterator[tuple]:
     bucket = (sig >> np.uint64(LOW_BITS)) % np.uint64(buckets)
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     sig, cls, bucket = sig[order], cls[order], bucket[order]
     for start, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
-        part, own = sig[start : start + n], cls[start : start + n]
+        own = cls[start : start + n]
         first, counts = _runs(own)
-        low = part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
-        yield (
-            int(bucket[start]), 0, own[first].tobytes(), counts.astype(np.int32).tobytes(), low.tobytes(),
-        )
+        low = _low(sig[start : start + n])
+        yield int(bucket[start]), kind, part, own[first].tobytes(), counts.astype(np.int32).tobytes(), low
 
 
 def _pack_edges(sig, cls, leader, buckets) -> Iterator[tuple]:
@@ -288,70 +302,74 @@ def _pack_edges(sig, cls, leader, buckets) -> Iterator[tuple]:
     full = (bucket << LOW_BITS) + low
     for start, n in zip(*(x.tolist() for x in _runs(run)), strict=True):
         at = order[start : start + n]
-        yield int(run[start]), 1, cls[at].tobytes(), leader[at].tobytes(), full[at].tobytes()
+        yield int(run[start]), EDGES, 0, cls[at].tobytes(), leader[at].tobytes(), full[at].tobytes()
 
 
-def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
+def _packed_batch(rows: Iterator[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(PACKED_SCHEMA)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-        names=["bucket", "kind", "classes", "counts", "signatures"],
+        [pa.array(c, f.type) for c, f in zip(columns, PACKED_SCHEMA, strict=True)], schema=PACKED_SCHEMA
     )
 
 
+def _packs(
+    rows: Iterator[tuple[int, np.ndarray]], pack: Callable[[np.ndarray, np.ndarray], Iterator[tuple]]
+) -> Iterator[pa.RecordBatch]:
+    """Batches of packed rows from (class, its signatures or elements)."""
+    sigs, classes, held = [], [], 0
+    for cid, own in rows:
+        sigs.append(own)
+        classes.append(np.full(len(own), cid, np.int64))
+        held += len(own)
+        if held > HELD:
+            yield _packed_batch(pack(np.concatenate(sigs), np.concatenate(classes)))
+            sigs, classes, held = [], [], 0
+    if held:
+        yield _packed_batch(pack(np.concatenate(sigs), np.concatenate(classes)))
+
+
 def _emit(sets: DataFrame, level: int, buckets: int) -> DataFrame:
     """Packed signatures of (cid, elements) or, from level 1 on, of (cid, elements, inside)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            sigs, classes, held = [], [], 0
             inside = batch.column("inside").to_pylist() if level else [None] * len(batch)
-            for cid, data, within in zip(
-                batch.column("cid").to_pylist(), batch.column("elements"), inside, strict=True
-            ):
-                sig = signatures(np.frombuffer(data.as_py(), np.uint64), level)
+            cids = batch.column("cid").to_pylist()
+            for cid, data, within in zip(cids, batch.column("elements"), inside, strict=True):
+                sig = signatures(np.frombuffer(data.as_buffer(), np.uint64), level)
                 for outer in within or [None]:
-                    own = sig if outer is None else mix(sig ^ mix(np.array([outer]).view(np.uint64), 6), 7)
-                    sigs.append(own)
-                    classes.append(np.full(len(own), cid, np.int64))
-                    held += len(own)
-                    if held > HELD:
-                        yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
-                        sigs, classes, held = [], [], 0
-            if sigs:
-                yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
+                    yield cid, sig if outer is None else mix(sig ^ mix(np.array([outer]).view(np.uint64), 6), 7)
 
-    return sets.mapInArrow(run, PACKED)
+    return sets.mapInArrow(lambda batches: _packs(found(batches), lambda s, c: _pack(s, c, buckets)), PACKED)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray] | pa.RecordBatch]:
-    """The signatures and classes of one bucket after another; and the edges among the rows, as they are.
-
-    The rows come in order of bucket, so no more than one bucket is held.
-    """
-    now, sigs, classes = None, [], []
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The packed rows of one bucket after another; they come in order of bucket, so one is held at a time."""
+    now, held = None, []
     for batch in batches:
-        columns = (batch.column(c) for c in ("classes", "counts", "signatures"))
-        for bucket, kind, cls, number, packed in zip(
-            batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), *columns, strict=True
-        ):
-            own = np.frombuffer(cls.as_buffer(), np.int64)
-            if kind:
-                edges = [np.frombuffer(packed.as_buffer(), np.int64), own, np.frombuffer(number.as_buffer(), np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges], names=["sig", "cid", "leader"])
-                continue
-            if bucket != now and sigs:
-                yield np.concatenate(sigs), np.concatenate(classes)
-                sigs, classes = [], []
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "kind", "part")]
+        columns += [[x.as_buffer() for x in batch.column(c)] for c in ("classes", "counts", "signatures")]
+        for bucket, *row in zip(*columns, strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
             now = bucket
-            low = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, LOW_BITS // 8)
-            sig = np.zeros((len(low), 8), np.uint8)
-            sig[:, : LOW_BITS // 8] = low
-            sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
-            classes.append(np.repeat(own, np.frombuffer(number.as_buffer(), np.int32)))
-    if sigs:
-        yield np.concatenate(sigs), np.concatenate(classes)
+            held.append((bucket, *row))
+    if held:
+        yield held
+
+
+def _opened(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, classes and parts of the packed rows of a bucket."""
+    sigs, classes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for bucket, _, part, cls, counts, packed in rows:
+        low = np.frombuffer(packed, np.uint8).reshape(-1, LOW_BITS // 8)
+        sig = np.zeros((len(low), 8), np.uint8)
+        sig[:, : LOW_BITS // 8] = low
+        sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
+        classes.append(np.repeat(np.frombuffer(cls, np.int64), np.frombuffer(counts, np.int32)))
+        parts.append(np.full(len(low), part, np.int32))
+    return np.concatenate(sigs), np.concatenate(classes), np.concatenate(parts)
 
 
 def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
@@ -362,15 +380,19 @@ def _edges(packed: DataFrame, buckets: int) -> DataFrame:
     """(sig, cid, leader): every class of a signature of two or more, tied to a leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _unpacked(batches):
-            if isinstance(found, pa.RecordBatch):
-                yield found
-                continue
-            _, *columns = _edges_within(*found)
-            for start in range(0, len(columns[0]), 20_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[start : start + 20_000]) for c in columns], names=["sig", "cid", "leader"]
-                )
+        for rows in _buckets(batches):
+            parts = [
+                [np.frombuffer(x, np.int64) for x in (sig, cls, leader)]
+                for _, kind, _, cls, leader, sig in rows
+                if kind == EDGES
+            ]
+            sig, cls, _ = _opened([r for r in rows if r[1] == OPEN])
+            parts.append(list(_edges_within(sig, cls)[1:]))
+            for columns in parts:
+                for start in range(0, len(columns[0]), 20_000):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[start : start + 20_000]) for c in columns], names=["sig", "cid", "leader"]
+                    )
 
     return _by_bucket(packed, buckets).mapInArrow(run, "sig long, cid long, leader long")
 
@@ -378,43 +400,135 @@ def _edges(packed: DataFrame, buckets: int) -> DataFrame:
 # Elements in company
 
 
-def _elements(sets: DataFrame, buckets: int) -> DataFrame:
-    """Packed elements of (cid, elements), in the form of signatures."""
+def _pack_elements(elements: np.ndarray, cls: np.ndarray, buckets: int, part: int) -> Iterator[tuple]:
+    """Elements of two classes of the pack are counted here; of each, the shuffle only learns that there are two."""
+    order = np.argsort(elements)
+    elements, cls = elements[order], cls[order]
+    first, lengths = _runs(elements)
+    several = np.repeat(lengths > 1, lengths)
+    cids, counts = np.unique(cls[several], return_counts=True)
+    if len(cids):
+        bucket = int(mix(np.array([part], np.uint64), 9)[0] % np.uint64(buckets))
+        yield bucket, COUNTS, part, cids.tobytes(), counts.astype(np.int64).tobytes(), b""
+    known = elements[first[lengths > 1]]
+    yield from _pack_open(known, np.zeros(len(known), np.int64), buckets, part, KNOWN)
+    order = np.argsort(cls[~several], kind="stable")
+    yield from _pack_open(elements[~several][order], cls[~several][order], buckets, part)
+
+
+def _company(packed: DataFrame, buckets: int) -> DataFrame:
+    """(cid, shared): how many elements of each class, as one task met it, are in another class too.
+
+    Never too few. A class whose copies are in several tasks is counted for each task by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, classes, size = [], [], 0
-            for cid, data in zip(batch.column("cid").to_pylist(), batch.column("elements"), strict=True):
-                held.append(np.frombuffer(data.as_buffer(), np.uint64))
-                classes.append(np.full(len(held[-1]), cid, np.int64))
-                size += len(held[-1])
-                if size > HELD:
-                    yield _packed_batch(list(_pack_signatures(np.concatenate(held), np.concatenate(classes), buckets)))
-                    held, classes, size = [], [], 0
-            if held:
-                yield _packed_batch(list(_pack_signatures(np.concatenate(held), np.concatenate(classes), buckets)))
+        names = ["cid", "part", "shared"]
+        for rows in _buckets(batches):
+            for _, _, part, cids, counts, _ in (r for r in rows if r[1] == COUNTS):
+                own = np.frombuffer(cids, np.int64)
+                columns = [own, np.full(len(own), part, np.int32), np.frombuffer(counts, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            element, cls, part = _opened([r for r in rows if r[1] == OPEN])
+            known = np.unique(_opened([r for r in rows if r[1] == KNOWN])[0])
+            order = np.argsort(element)
+            element, cls, part = element[order], cls[order], part[order]
+            first, lengths = _runs(element)
+            if not len(first):
+                continue
+            shared = np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)
+            shared |= np.isin(element[first], known, assume_unique=True)
+            shared = np.repeat(shared, lengths)
+            cls, part = cls[shared], part[shared]
+            order = np.lexsort((part, cls))
+            cls, part = cls[order], part[order]
+            first = np.flatnonzero(np.append(True, (cls[1:] != cls[:-1]) | (part[1:] != part[:-1]))[: len(cls)])
+            counts = np.diff(np.append(first, len(cls)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[first], part[first], counts)], names=names)
 
-    return sets.select("cid", "elements").mapInArrow(run, PACKED)
+    found = _by_bucket(packed, buckets).mapInArrow(run, "cid long, part int, shared long")
+    found = found.groupBy("cid", "part").agg(F.sum("shared").alias("shared"))
+    return found.groupBy("cid").agg(F.min("shared").alias("shared"))
+
+
+def _backed(packed: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
+    """(cid) of the classes in (cid, n) of which other classes hold enough elements for a similar partner."""
+    shared = _company(packed, buckets).join(sizes, "cid")
+    return shared.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cid")
 
 
-def _backed(sets: DataFrame, buckets: int) -> DataFrame:
-    """(cid) of the classes of which other classes hold enough elements for a similar partner."""
+def _elements_of_texts(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """Packed elements straight from the texts; a class that a task has met is not emitted again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for element, cls in _unpacked(batches):
-            order = np.argsort(element)
-            _, lengths = _runs(element[order])
-            cids, number = np.unique(cls[order][np.repeat(lengths > 1, lengths)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(number)], names=["cid", "shared"])
+        part, seen = TaskContext.get().partitionId(), set()
+
+        def found() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                for text in batch.column("text"):
+                    elements = shingles(text.as_py())
+                    cid = class_of(elements, seed)[0]
+                    if len(elements) and cid not in seen:
+                        seen.add(cid)
+                        yield cid, elements
+
+        return _packs(found(), lambda e, c: _pack_elements(e, c, buckets, part))
+
+    return texts.select("text").mapInArrow(run, PACKED)
 
-    shared = _by_bucket(_elements(sets, buckets), buckets).mapInArrow(run, "cid long, shared long")
-    shared = shared.groupBy("cid").agg(F.sum("shared").alias("shared"))
-    return shared.join(sets.select("cid", "n"), "cid").where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cid")
+
+def _elements_of_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (cid, np.frombuffer(data.as_buffer(), np.uint64))
+            for batch in batches
+            for cid, data in zip(batch.column("cid").to_pylist(), batch.column("elements"), strict=True)
+        )
+        return _packs(rows, lambda e, c: _pack_elements(e, c, buckets, 0))
+
+    return sets.select("cid", "elements").mapInArrow(run, PACKED)
 
 
 # Comparing sets
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(cid, n, sketch): how many elements of each class are in each of SKETCH parts of the domain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [
+                np.minimum(
+                    np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH),
+                    255,
+                ).astype(np.uint8).tobytes()
+                for x in batch.column("elements")
+            ]
+            columns = [batch.column("cid"), batch.column("n"), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "sketch"])
+
+    return sets.mapInArrow(run, "cid long, n long, sketch binary")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave: parts of the domain differ no more than the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int32)
+                for c in ("x", "y")
+            )
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            near = np.abs(x - y).sum(1) * (100 + PERCENT) <= total * (100 - PERCENT)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    left = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_a"))
+    right = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_b"))
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return pairs.join(left, "a").join(right, "b").where(sized).mapInArrow(run, "a long, b long")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
@@ -422,18 +536,14 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                left = np.frombuffer(x.as_py(), np.uint64)
-                right = np.frombuffer(y.as_py(), np.uint64)
+                left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.intersect1d(left, right, assume_unique=True).size
                 keep.append(100 * both >= PERCENT * (left.size + right.size - both))
-            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("x"), F.col("n").alias("n_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("y"), F.col("n").alias("n_b"))
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    joined = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -522,31 +632,6 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _level_one(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Packed signatures straight from the texts; a class that a task has met is not emitted again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            sigs, classes, held = [], [], 0
-            for text in batch.column("text"):
-                elements = shingles(text.as_py())
-                cid = class_of(elements, seed)[0]
-                if not len(elements) or cid in seen:
-                    continue
-                seen.add(cid)
-                sigs.append(signatures(elements))
-                classes.append(np.full(len(sigs[-1]), cid, np.int64))
-                held += len(sigs[-1])
-                if held > HELD:
-                    yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
-                    sigs, classes, held = [], [], 0
-            if sigs:
-                yield _packed_batch(list(_pack(np.concatenate(sigs), np.concatenate(classes), buckets)))
-
-    return docs.select("text").mapInArrow(run, PACKED)
-
-
 def near_duplicates(
     docs: DataFrame, few: int = FEW, levels: int = LEVELS, block_classes: int = BLOCK_CLASSES
 ) -> DataFrame:
@@ -557,21 +642,24 @@ def near_duplicates(
     total = facts.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets_for = lambda size: max(tasks, math.ceil(size / BUCKET))
-    buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
-    members = stored(_members(stored(_edges(_level_one(texts, seed, buckets), buckets), "signatures")), "members")
-    sets = stored(_candidate_sets(texts, rows, members.select("cid").distinct(), seed), "sets")
+    buckets = buckets_for(total)
+    asked = _backed(_elements_of_texts(texts, seed, buckets), facts, buckets)
+    sets = stored(_candidate_sets(texts, rows, stored(asked, "backed"), seed), "sets")
     for _ in range(BACKED):
-        held = sets.agg(F.sum("n")).first()[0] or 0
-        sets = stored(sets.join(_backed(sets, buckets_for(held)), "cid", "left_semi"), "sets")
-    members = _together(members, sets)
-    sizes = sets.select("cid", "n")
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        buckets = buckets_for(total)
+        asked = _backed(_elements_of_sets(sets, buckets), sets.select("cid", "n"), buckets)
+        sets = stored(sets.join(asked, "cid", "left_semi"), "sets")
+    sizes, sketches = sets.select("cid", "n"), stored(_sketches(sets), "sketches")
+    buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
+    members = stored(_members(stored(_edges(_emit(sets, 0, buckets), buckets), "signatures")), "members")
     families = components(_ties(members, sizes))
     links = stored(_within(families, sets, block_classes, tasks), "links")
     for level in range(levels + 1):
         open_ = stored(_open(members, families), "open")
         small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
         large = stored(open_.where(~small), "large")
-        found = _compared(stored(_pairs(open_.where(small)), "pairs"), sets)
+        found = _compared(stored(_near(_pairs(open_.where(small)), sketches), "pairs"), sets)
         links = stored(links.unionByName(found), "links")
         if large.isEmpty():
             break
@@ -593,13 +681,6 @@ def _classified(texts: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError(f"different sets have one 64-bit fingerprint under each of {SEEDS} seeds")
 
 
-def _together(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` of the classes in ``sets``, without what then stands alone in its signature."""
-    left = stored(members.join(sets.select("cid"), "cid", "left_semi"), "members")
-    several = left.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    return stored(left.join(several, "sig", "left_semi"), "members")
-
-
 def _ties(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b): each class with the leader that it shares most signatures with, if these are enough."""
     ranks = members.groupBy("cid").agg(F.count(F.lit(1)).alias("rank"))
