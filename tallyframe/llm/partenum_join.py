@@ -28,7 +28,7 @@ documents are linked. Not all pairs of a signature are compared:
 2. Each signature ties its classes to a leader, on the map side first, in the same way.
    Classes that share no signature are done.
 3. A signature is led by its class with most signatures, and each class joins the leader
-   it shares most of them with, if these are two and a two hundredth of its size: classes tied that way
+   it shares most of them with, if these are two and a fiftieth of its size: classes tied that way
    are a family, such as the copies of one text with words changed. Within a family all
    pairs are compared, as products of 0/1 matrices over blocks of bounded size (a large
    family is cut into blocks, and each pair of blocks is a task); a block returns
@@ -73,18 +73,18 @@ from tallyframe.llm.scratch import stored
 WORDS = 5
 PERCENT = 75
 #: Pairs across families for each class of a signature, up to which they are enumerated.
-FEW = 32
+FEW = 16
 #: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
 #: Further rounds of step 1, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
 BACKED = 2
-TIE = 200
+TIE = 50
 #: Parts of the domain in a sketch.
 SKETCH = 128
 #: Seeds for classes.
 SEEDS = 8
 BLOCK_CLASSES = 1000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 # Hashing
 
