@@ -1,12 +1,22 @@
-"""Token ids of whole texts, with the words of a text remembered between texts.
-
-Both public tokenizers used here cut a text into words before they merge characters,
-and no word crosses a single space that stands between a visible character and a
-Latin letter. So a text is cut at such spaces, and the ids of a piece are looked up in
-a memory of bounded size; a piece that is not there is cut into plain words (Latin
-letters, digits, punctuation), which the tokenizer's model merges one by one, or, if
-it holds anything else, goes through the whole tokenizer. The ids are those that the
-tokenizer gives for the whole text. Strings of special tokens count as ordinary text.
+"""Token ids of whole texts, as the tokenizers library gives them for a tokenizer file.
+
+The vocabulary, merges, normalisation and special tokens are those of the file, and any
+text may go through the tokenizer itself. It takes over 500 seconds a GB, most of it for
+offsets and strings that nobody asked for. So spans of plain characters (Latin letters,
+digits, punctuation, spaces, line breaks) are merged by tiktoken's byte-pair merger, built
+from the merges of the same file; ``Encoder`` checks that the file is one whose ids follow
+from ranks alone, and uses the tokenizer for everything otherwise:
+
+- Byte level: a token's rank is its id, and the words are those of the public pattern.
+- With word ends: a word is lower-cased and closed by a NUL, which stands for the end of a
+  word in the vocabulary. The ids of characters at the end of a word lie below those of all
+  merges, so the last character and the NUL merge first, as the file has it.
+
+A text is cut at single spaces between a visible character and a Latin letter, which no
+word of either tokenizer crosses. Pieces with any other character, or with a run of over
+``LONGEST`` characters without a word border, go through the tokenizer, and so does a whole
+text that holds the string of an added (special) token. The ids are those that the
+unmodified tokenizer gives for the whole text; tests hold them against each other.
 """
 
 from __future__ import annotations
@@ -19,22 +29,22 @@ from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Entries of the memory for pieces and of the one for words, in each worker process.
-REMEMBERED = 400_000
 #: Characters of a long text that are encoded at a time.
 SPAN = 1 << 20
+LONGEST = 1000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 CUT = re.compile(rf" (?<=\S )(?=[{LETTERS}])")
-#: Words of a piece with nothing else in it; a line break only where a visible character follows.
-BYTE_WORDS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?=[{LETTERS}0-9{MARKS}])")
-WORD_WORDS = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
-WORD_PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS} \n]*")
+ODD = re.compile(rf"[^{LETTERS}0-9{MARKS} \n]|[^ \n]{{{LONGEST}}}|[ \n]{{{LONGEST}}}")
+#: Words of a lower-cased plain text with word ends.
+WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[{MARKS}]+")
+ENDED = r"[^\x00]*\x00"
 
 
 def _byte_letters() -> list[str]:
@@ -44,84 +54,83 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else next(others) for b in range(256)]
 
 
-class Memory:
-    """A dictionary of bounded size: what was not asked for while it filled once is forgotten."""
-
-    def __init__(self, size: int):
-        self.half = max(1, size // 2)
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.recent) >= self.half:
-            self.recent, self.older = {}, self.recent
-        self.recent[key] = value
-
-    def get(self, key: str) -> bytes | None:
-        found = self.recent.get(key)
-        if found is None:
-            found = self.older.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
+def _ranks(model: dict, added: set[int]) -> dict[bytes, int] | None:
+    """Bytes of each token and its id, if merging the least id first is what the merges say."""
+    vocabulary, ends = model["vocab"], model.get("end_of_word_suffix") or ""
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix")):
+        return None
+    merged = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+    if ends:  # the first part of a merge never ends a word
+        merged = [a.replace(ends, "") + (ends if a.endswith(ends) else "") for a in merged]
+    ids = [vocabulary[token] for token in merged]
+    made = set(merged)
+    singles = [i for token, i in vocabulary.items() if i not in added and token not in made]
+    if ids != sorted(ids) or (singles and ids and max(singles) > ids[0]):
+        return None
+    number = {letter: bytes([b]) for b, letter in enumerate(_byte_letters())}
+    out = {}
+    for token, i in vocabulary.items():
+        if i in added:
+            continue
+        last = bool(ends) and token.endswith(ends)
+        letters = token[: -len(ends)] if last else token
+        if not all(c in number for c in letters):
+            return None
+        out[b"".join(number[c] for c in letters) + (b"\0" if last else b"")] = i
+    return out
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    """``special``: the strings of special tokens are these tokens, as by default in the tokenizer, or else ordinary text."""
+
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        ends = parts["model"].get("end_of_word_suffix")
-        kind = (parts["pre_tokenizer"] or {}).get("type")
-        self.kind = "word" if ends else "byte" if kind == "ByteLevel" else "other"
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.pieces, self.words = Memory(remembered), Memory(remembered)
+        added = parts["added_tokens"]
+        strings = [re.escape(t["content"]) for t in added if special or not t["special"]]
+        self.added = re.compile("|".join(strings), re.IGNORECASE) if strings else None
+        self.ends = bool(parts["model"].get("end_of_word_suffix"))
+        before = parts["pre_tokenizer"] or {}
+        known = (
+            before.get("type") == "Sequence" if self.ends
+            else before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not parts["normalizer"]
+        )
+        ranks = _ranks(parts["model"], {t["id"] for t in added}) if known else None
+        self.merger = None
+        if ranks:
+            pattern = ENDED if self.ends else public_tokenizers.PATTERN
+            self.merger = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _merged(self, word: str) -> bytes:
-        """The ids of one word by the merges of the model."""
-        if word.isascii():
-            mapped = word.replace(" ", self.letters[32]).replace("\n", self.letters[10])
-        else:
-            mapped = "".join([self.letters[b] for b in word.encode()])
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self._merged(word)
-            self.words.put(word, found)
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of any piece, word by word if it is plain, else by the whole tokenizer."""
-        if self.kind == "byte":
-            words = BYTE_WORDS.findall(piece)
-            plain = sum(map(len, words)) == len(piece)
-        else:
-            plain = WORD_PLAIN.fullmatch(piece)
-            words = WORD_WORDS.findall(piece.lower()) if plain else []
-        return b"".join(map(self._word, words)) if plain else self._whole(piece)
+    def _plain(self, text: str) -> bytes:
+        if self.ends:
+            words = WORDS.findall(text.lower())
+            if not words:
+                return b""
+            text = "\0".join(words) + "\0"
+        return array("I", self.merger.encode_ordinary(text)).tobytes()
 
     def _span(self, text: str) -> bytes:
+        if not ODD.search(text):
+            return self._plain(text)
+        out, plain = [], []
         first, *rest = CUT.split(text)
-        out = list(map(self.pieces.recent.get, rest))
-        if None in out:
-            space = " " if self.kind == "byte" else ""
-            for i, found in enumerate(out):
-                if found is None:
-                    piece = rest[i]
-                    found = self.pieces.get(piece)
-                    if found is None:
-                        found = self._piece(space + piece)
-                        self.pieces.put(piece, found)
-                    out[i] = found
-        return self._piece(first) + b"".join(out)
+        for piece in (first, *(" " + x for x in rest)):
+            if not ODD.search(piece):
+                plain.append(piece)
+                continue
+            if plain:
+                out.append(self._plain("".join(plain)))
+                plain = []
+            out.append(self._whole(piece))
+        if plain:
+            out.append(self._plain("".join(plain)))
+        return b"".join(out)
 
     def _spans(self, text: str) -> Iterator[str]:
         """The text in spans that end at a cut, so that a long one is never split into all its pieces at once."""
@@ -138,12 +147,12 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.kind == "other":
+        if self.merger is None or (self.added and self.added.search(text)):
             return self._whole(text)
         return b"".join(map(self._span, self._spans(text)))
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(path)
+    return Encoder(path, special)

@@ -50,7 +50,6 @@ def test_linear_grouping_beats_best_fit_alone_where_configurations_matter():
 
 def expected(rows):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     out = []
     for doc_id, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
