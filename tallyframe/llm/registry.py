@@ -14,7 +14,7 @@ from tallyframe.llm.pfair_mix import OP4_SQL, op4_pfair_mix
 from tallyframe.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from tallyframe.llm.quality_crf import op5_quality_crf
 from tallyframe.llm.token_files import op9_zstd_token_files
-from tallyframe.llm.token_rollups import OP2_SQL, op2_token_rollups
+from tallyframe.llm.token_rollups import op2_token_rollups
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -33,7 +33,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_token_rollups": OP2_SQL,
     "op4_pfair_mix": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_chat_format": OP10_SQL,

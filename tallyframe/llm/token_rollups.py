@@ -9,10 +9,18 @@ summed by key on the map side, so a source of a third of all rows is a few rows
 time it reaches the shuffle. Totals are the sum of the deltas; no state of a document is
 ever read.
 
-A batch is committed once: the delta is written to a folder of its own and then renamed
-to the name of its batch id, which fails if that name is there. Running a batch again
-after a failure, or twice, changes nothing. ``compact`` folds deltas into one and keeps
-their ids, so that they stay committed.
+A batch is committed once. Its delta is written to a folder with a name of its own, which
+is then renamed to the name of the batch (a digest of its id, so that ids may be of any
+length). Where two writers meet, a file system puts the later folder inside the earlier
+one instead of in its place; the writer finds it there, takes it away and reports False.
+Running a batch again after a failure, or twice, changes nothing. This needs a file system
+whose folders are renamed in one step (HDFS, a local disk), not an object store.
+
+``compact`` folds deltas into one. A fold is a folder with the totals and a list of the
+batches that they cover, published by one rename under the next number. Readers take the
+latest fold and the deltas that it does not cover; so a fold that fails at any step changes
+nothing, and commits may go on beside it. ``sweep`` removes what the latest fold covers; run
+it without readers of older state.
 
 Defined results: null source or language is a key of its own; a null text has 0 tokens;
 repeated rows count as often as they are there; an empty batch is committed without
@@ -22,6 +30,8 @@ ignored.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,104 +110,152 @@ class Rollups:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _deltas(self) -> dict[str, str]:
-        """Committed batch ids and the delta folder that holds each."""
-        root = self._path(f"{self.folder}/committed")
-        if not self._fs.exists(root):
-            return {}
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return {batch: name for name in names for batch in name.removeprefix("batches=").split("+")}
+    # Steps on the file system; none is silent about a failure.
+
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/{name}"))
+
+    def _names(self, name: str) -> list[str]:
+        if not self._there(name):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{name}")))
+
+    def _remove(self, name: str) -> None:
+        if not self._fs.delete(self._path(f"{self.folder}/{name}"), True) and self._there(name):
+            raise OSError(f"{self.folder}/{name} can't be removed")
+
+    def _write_delta(self, name: str, delta: DataFrame) -> None:
+        delta.write.parquet(f"{self.folder}/{name}")
+
+    def _write_list(self, name: str, lines: list[str]) -> None:
+        self.spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(f"{self.folder}/{name}")
+
+    def _publish(self, own: str, name: str) -> bool:
+        """Renames staged/own to ``name``; False if that name is taken."""
+        parent = name.rpartition("/")[0]
+        if not self._fs.mkdirs(self._path(f"{self.folder}/{parent}")):
+            raise OSError(f"{self.folder}/{parent} can't be made")
+        staged, target = (self._path(f"{self.folder}/{x}") for x in (f"staged/{own}", name))
+        renamed = self._fs.rename(staged, target)
+        if self._there(f"{name}/{own}"):  # a folder of that name was there and took it in
+            self._remove(f"{name}/{own}")
+            return False
+        if not renamed:
+            if not self._there(name):
+                raise OSError(f"{staged.toString()} can't be renamed to {name}")
+            self._remove(f"staged/{own}")
+        return renamed
+
+    # Commits
+
+    def _fold(self) -> tuple[str | None, frozenset[str]]:
+        """The latest fold and the batches it covers."""
+        folds = self._names("folds")
+        return (folds[-1], _lines(self.spark, f"{self.folder}/folds/{folds[-1]}/covers")) if folds else (None, frozenset())
+
+    def committed(self, batch_id: str) -> bool:
+        name = _name(batch_id)
+        return self._there(f"committed/{name}") or name in self._fold()[1]
 
     def commit(self, batch_id: str, batch: DataFrame) -> bool:
         """Adds a batch; False if a batch of this id is there already."""
-        if not batch_id or set(batch_id) & set("+/="):
-            raise ValueError(f"batch id {batch_id!r}")
-        if batch_id in self._deltas():
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        if self.committed(batch_id):
             return False
-        return self._publish(f"batches={batch_id}", delta_of(batch))
-
-    def _publish(self, name: str, delta: DataFrame) -> bool:
-        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
-        delta.write.parquet(staged)
-        self._fs.mkdirs(self._path(f"{self.folder}/committed"))
-        target = self._path(f"{self.folder}/committed/{name}")
-        # The rename is the commit: of two writers of one batch the second finds the name taken.
-        return not self._fs.exists(target) and self._fs.rename(self._path(staged), target)
-
-    def compact(self) -> None:
-        """Folds all deltas into one. Run it without commits beside it."""
-        deltas = self._deltas()
-        if len(set(deltas.values())) < 2:
-            return
-        folded = [self._path(f"{self.folder}/committed/{n}") for n in sorted(set(deltas.values()))]
-        totals = self.totals()
-        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
-        totals.write.parquet(staged)
-        aside = self._path(f"{self.folder}/folded/{uuid.uuid4().hex}")
-        self._fs.mkdirs(aside)
-        for path in folded:
-            self._fs.rename(path, self._path(f"{aside.toString()}/{path.getName()}"))
-        self._fs.rename(self._path(staged), self._path(f"{self.folder}/committed/batches={'+'.join(sorted(deltas))}"))
+        own, name = uuid.uuid4().hex, _name(batch_id)
+        self._write_delta(f"staged/{own}/delta", delta_of(batch))
+        if not self._publish(own, f"committed/{name}"):
+            return False
+        # Another writer's delta may have been folded and swept meanwhile; then this one counts for nothing.
+        if name in self._fold()[1]:
+            self._remove(f"committed/{name}")
+            return False
+        return True
 
-    def totals(self) -> DataFrame:
-        names = sorted(set(self._deltas().values()))
-        if not names:
+    def compact(self) -> bool:
+        """Folds the deltas that are there into one; False if there is nothing to fold, or another fold came first."""
+        last, covered = self._fold()
+        names = self._names("committed")
+        if not set(names) - covered:
+            return False
+        own = uuid.uuid4().hex
+        self._write_delta(f"staged/{own}/delta", self._summed(last, [n for n in names if n not in covered]))
+        self._write_list(f"staged/{own}/covers", sorted(covered | set(names)))
+        number = int(last) + 1 if last else 1
+        return self._publish(own, f"folds/{number:012d}")
+
+    def sweep(self) -> None:
+        """Removes deltas that the latest fold covers, older folds, and what failed runs have left."""
+        last, covered = self._fold()
+        for name in self._names("committed"):
+            if name in covered:
+                self._remove(f"committed/{name}")
+        for name in self._names("folds")[:-1]:
+            self._remove(f"folds/{name}")
+        for name in self._names("staged"):
+            self._remove(f"staged/{name}")
+
+    def _summed(self, fold: str | None, names: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/committed/{n}/delta" for n in names]
+        paths += [f"{self.folder}/folds/{fold}/delta"] if fold else []
+        if not paths:
             return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/committed/{n}" for n in names])
         return (
-            deltas.groupBy(*KEYS)
+            self.spark.read.schema(DELTA)
+            .parquet(*paths)
+            .groupBy(*KEYS)
             .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
             .where("n_docs <> 0 or n_tokens <> 0")
         )
 
+    def totals(self) -> DataFrame:
+        last, covered = self._fold()
+        return self._summed(last, [n for n in self._names("committed") if n not in covered])
+
+
+def _name(batch_id: str) -> str:
+    return hashlib.sha256(batch_id.encode()).hexdigest()
+
+
+@functools.lru_cache(maxsize=8)
+def _lines(spark: SparkSession, path: str) -> frozenset[str]:
+    """The lines of a list that never changes; one for each batch."""
+    return frozenset(r["value"] for r in spark.read.text(path).collect())
+
 
 def revised(docs: DataFrame, before: str, after: str, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """Totals once all documents are inserted, revised to another tokenizer version, and their copies deleted.
 
     Every text is counted once per version. Every batch is sent twice, as after a failure
-    between commit and reply.
+    between commit and reply. Of equal texts the document with the largest doc_id stays (a
+    null id is the smallest; one of them stays).
     """
     files = tokenizers or {}
     old, new = (token_count(F.col("text"), v, files.get(v)) for v in (before, after))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
     counted = stored(docs.select("doc_id", "source", "lang", digest, old.alias("old"), new.alias("new")), "counts")
     first, second = image(before, F.col("old")), image(after, F.col("new"))
-    kept = counted.groupBy("digest").agg(F.max("doc_id").alias("keep")).withColumnRenamed("digest", "d")
-    copies = counted.join(kept, F.col("digest") == F.col("d")).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    # Deleting all documents and inserting one of each text again deletes the copies. No join
+    # looks up the one that stays, so a text that a third of all rows share is no hot key.
+    stays = F.struct("doc_id", "source", "lang", "old", "new")
+    kept = counted.groupBy("digest").agg(F.max(stays).alias("row")).select("row.*")
     rollups = Rollups(docs.sparkSession, new_dir(docs.sparkSession, "rollups"))
     batches = {
         "1-insert": changes(counted, None, first),
         "2-revise": changes(counted, first, second),
         "3-insert-again": changes(counted, None, first),
-        "4-delete-copies": changes(copies, second, None),
+        "4-delete-copies": changes(counted, second, None).unionByName(changes(kept, None, second)),
     }
     for batch_id, batch in batches.items():
         rollups.commit(batch_id, batch)
         rollups.commit(batch_id, batch)
-    rollups.compact()
+        rollups.compact()
+    rollups.sweep()
     return rollups.totals()
 
 
-def tokenizer_rollups(docs: DataFrame) -> DataFrame:
-    """``revised`` from the byte-level to the word-level public tokenizer."""
-    return revised(docs, BYTE_VERSION, WORD_VERSION, {BYTE_VERSION: BYTE_BPE, WORD_VERSION: WORD_BPE})
-
-
 def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``revised`` from words to bytes, which SQL can count; ``tokenizer_rollups`` counts tokens."""
-    return revised(read(spark, sf_dir, "documents"), WORDS, BYTES)
-
-
-OP2_SQL = """
-WITH rows AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents
-), keep AS (
-  SELECT t, max(doc_id) AS keep_id FROM rows GROUP BY t
-)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs,
-       CAST(sum(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n_tokens
-FROM rows GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'utf8-bytes-1', count(*), CAST(sum(strlen(t)) AS BIGINT)
-FROM rows JOIN keep USING (t) WHERE doc_id = keep_id GROUP BY source, lang
-"""
+    """``revised`` from the byte-level to the word-level public tokenizer."""
+    tokenizers = {BYTE_VERSION: BYTE_BPE, WORD_VERSION: WORD_BPE}
+    return revised(read(spark, sf_dir, "documents"), BYTE_VERSION, WORD_VERSION, tokenizers)
