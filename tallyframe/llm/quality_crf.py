@@ -7,10 +7,13 @@ sequence. The share of word characters in content lines decides retention, after
 base rules (too few words, too many repeated three-word windows).
 
 Training reads at most ``sample`` labelled documents (parameter, 3000 by default: the
-first in hash order of doc_id among those with a quality label); the lines of a good
-document count as content and those of a bad one as boilerplate. Nothing but the
-features of their lines reaches the driver. Without labels of both kinds there is no
-model, and every line is content. Decoding covers whole texts of all rows.
+first in hash order of doc_id among those with a quality label) and at most ``lines`` lines
+of each (parameter, 512 by default, in runs spread over the text). The lines of a good
+document count as content and those of a bad one as boilerplate; and because labels never
+change within such a document, as many sequences are joined from runs of lines of good and
+bad ones, in alternation, where every change is known. Nothing but the features of lines
+reaches the driver. Without labels of both kinds there is no model, and every line is
+content. Decoding covers whole texts of all rows.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated
 rows and ids are judged one by one; extra columns pass through.
@@ -33,8 +36,11 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5
 SAMPLE = 3000
+LINES = 512
 #: Lines of one training sequence; longer documents give several.
 WINDOW = 64
+#: Lines of a run in a joined sequence at most, and its runs at most.
+RUN, RUNS = 12, 5
 
 LETTER, UPPER, DIGIT, SYMBOL, SPACE, BANG = 1, 2, 4, 8, 16, 32
 SYMBOLS = "#*$%&|<>"
@@ -194,56 +200,113 @@ class Crf:
         return np.array(out[::-1])
 
 
-def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float = 1e-3) -> Crf | None:
-    """Maximum likelihood by forward-backward and Adam; None without both labels."""
-    if {y for _, y in sequences} != {0, 1}:
-        return None
-    parts = [
-        (x[i : i + WINDOW], y) for x, y in sequences for i in range(0, len(x), WINDOW)
-    ]
-    length = max(len(x) for x, _ in parts)
-    n, width = len(parts), len(FEATURES)
-    xs, there = np.zeros((n, length, width)), np.zeros((n, length), bool)
-    ys = np.array([y for _, y in parts])
-    for i, (x, _) in enumerate(parts):
-        xs[i, : len(x)], there[i, : len(x)] = x, True
-    # Both labels weigh the same in total, whatever their share of the lines.
-    weight = np.where(ys == 1, 0.5 / there[ys == 1].sum(), 0.5 / there[ys == 0].sum())
-    theta = np.zeros(width + 4)
-    moment, second = np.zeros_like(theta), np.zeros_like(theta)
-    gold_pairs = np.zeros((n, 2, 2))
-    gold_pairs[np.arange(n), ys, ys] = there.sum(1) - 1
-    for step in range(1, rounds + 1):
-        w, pairs = theta[:width], theta[width:].reshape(2, 2)
-        emit = np.stack([np.zeros((n, length)), xs @ w], 2)
+def spread(x: np.ndarray, lines: int) -> np.ndarray:
+    """The rows of x, or ``lines`` of them in runs of WINDOW at equal distances."""
+    if len(x) <= lines:
+        return x
+    starts = np.linspace(0, len(x) - WINDOW, max(1, lines // WINDOW)).astype(int)
+    return np.concatenate([x[i : i + WINDOW] for i in starts])
+
+
+def joined(sequences: list[tuple[np.ndarray, int]], seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As many sequences of runs that change between the labels, with the label of each line."""
+    rng = np.random.default_rng(seed)
+    of = [[x for x, y in sequences if y == label and len(x)] for label in (0, 1)]
+    out = []
+    for _ in range(len(sequences) if all(of) else 0):
+        first = int(rng.integers(2))
+        xs, ys = [], []
+        for turn in range(int(rng.integers(2, RUNS + 1))):
+            label = (first + turn) % 2
+            whole = of[label][rng.integers(len(of[label]))]
+            n = min(len(whole), int(rng.integers(1, RUN + 1)))
+            at = int(rng.integers(len(whole) - n + 1))
+            xs.append(whole[at : at + n])
+            ys.append(np.full(n, label))
+        out.append((np.concatenate(xs), np.concatenate(ys)))
+    return out
+
+
+@dataclass
+class Padded:
+    """Sequences of like length side by side, to the longest of them."""
+
+    xs: np.ndarray
+    ys: np.ndarray
+    there: np.ndarray
+    weight: np.ndarray
+
+    def gradient(self, w: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log-likelihood, by forward-backward: for the features and for the pairs."""
+        n, length, _ = self.xs.shape
+        emit = np.stack([np.zeros((n, length)), self.xs @ w], 2)
         alpha, beta = np.zeros((length, n, 2)), np.zeros((length, n, 2))
         alpha[0] = emit[:, 0]
         for t in range(1, length):
             nxt = np.logaddexp(alpha[t - 1][:, :1] + pairs[0], alpha[t - 1][:, 1:] + pairs[1]) + emit[:, t]
-            alpha[t] = np.where(there[:, t, None], nxt, alpha[t - 1])
+            alpha[t] = np.where(self.there[:, t, None], nxt, alpha[t - 1])
         for t in range(length - 2, -1, -1):
             after = emit[:, t + 1] + beta[t + 1]
             prev = np.logaddexp(after[:, :1] + pairs[:, 0], after[:, 1:] + pairs[:, 1])
-            beta[t] = np.where(there[:, t + 1, None], prev, 0)
+            beta[t] = np.where(self.there[:, t + 1, None], prev, 0)
         total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        share = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total).T * there
-        grad = np.einsum("nt,ntf,n->f", there * ys[:, None] - share, xs, weight)
+        share = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total).T
+        features = np.einsum("nt,ntf->f", (self.ys - share) * self.weight, self.xs)
         both = np.zeros((2, 2))
         for t in range(1, length):
             joint = alpha[t - 1][:, :, None] + pairs + (emit[:, t] + beta[t])[:, None, :]
-            both += np.einsum(
-                "nab,n->ab", np.exp(joint - total[:, None, None]), weight * there[:, t]
-            )
-        grad = np.append(grad, (np.einsum("nab,n->ab", gold_pairs, weight) - both).ravel())
-        grad -= decay * theta
+            both -= np.einsum("nab,n->ab", np.exp(joint - total[:, None, None]), self.weight[:, t])
+            np.add.at(both, (self.ys[:, t - 1], self.ys[:, t]), self.weight[:, t])
+        return features, both
+
+
+def _padded(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[Padded]:
+    # Both labels weigh the same in total, whatever their share of the lines.
+    lines = np.bincount(np.concatenate([y for _, y in parts]), minlength=2)
+    parts = sorted(parts, key=lambda p: len(p[0]))
+    out = []
+    for longest in (4, 8, 16, 32, WINDOW):
+        group = [p for p in parts if longest // 2 < len(p[0]) <= longest or len(p[0]) <= longest == 4]
+        if not group:
+            continue
+        shape = len(group), max(len(x) for x, _ in group)
+        made = Padded(np.zeros((*shape, len(FEATURES))), np.zeros(shape, int), np.zeros(shape, bool), np.zeros(shape))
+        for i, (x, y) in enumerate(group):
+            made.xs[i, : len(x)], made.ys[i, : len(x)], made.there[i, : len(x)] = x, y, True
+            made.weight[i, : len(x)] = 0.5 / lines[y].mean()
+        # One weight for each sequence, so that the likelihood is a sum over sequences.
+        made.weight = made.there * (made.weight.sum(1) / made.there.sum(1))[:, None]
+        out.append(made)
+    return out
+
+
+def train(
+    sequences: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float = 1e-3, tolerance: float = 2e-3
+) -> Crf | None:
+    """Maximum likelihood by forward-backward and Adam, until the gradient is small; None without both labels."""
+    if {y for _, y in sequences} != {0, 1}:
+        return None
+    labelled = [(x, np.full(len(x), y)) for x, y in sequences] + joined(sequences)
+    groups = _padded([(x[i : i + WINDOW], y[i : i + WINDOW]) for x, y in labelled for i in range(0, len(x), WINDOW)])
+    width = len(FEATURES)
+    theta = np.zeros(width + 4)
+    moment, second = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        grad = -decay * theta
+        for group in groups:
+            features, both = group.gradient(theta[:width], theta[width:].reshape(2, 2))
+            grad[:width] += features
+            grad[width:] += both.ravel()
+        if np.abs(grad).max() < tolerance:
+            break
         moment = 0.9 * moment + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         theta += 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return Crf(theta[:width], theta[width:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
-    """A model from at most ``sample`` labelled documents; only line features are collected."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Crf | None:
+    """A model from at most ``sample`` labelled documents; only features of at most ``lines`` lines of each are collected."""
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id")
@@ -258,17 +321,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
             for text, label in zip(
                 batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True
             ):
-                x = read_lines(text).features
+                x = spread(read_lines(text).features, lines)
                 if len(x):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x.astype(np.float32).tobytes()]), pa.array([int(label)], pa.int32())],
                         names=["x", "y"],
                     )
 
-    rows = texts.mapInArrow(features, "x binary, y int").collect()
-    rows.sort()  # the order in which tasks end does not change the model
+    # Rows that repeat an id are as many as they are; the first in order of their features count.
+    found = texts.mapInArrow(features, "x binary, y int").orderBy("y", "x").limit(2 * sample).collect()
     return train(
-        [(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(float), r.y) for r in rows]
+        [(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(float), r.y) for r in found]
     )
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm.columns import read
-from tallyframe.llm.quality_crf import FEATURES, Crf, fit, judge, keep_good, read_lines, train
+from tallyframe.llm.quality_crf import FEATURES, Crf, fit, joined, judge, keep_good, read_lines, spread, train
 
 from tests.llm.helpers import DATA, table
 
@@ -61,6 +61,48 @@ def test_verdict_follows_held_out_labels(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
 
 
+def test_joined_texts_change_their_label_where_they_are_joined(spark):
+    """Texts of held-out good and bad documents in one; the share of content decides them."""
+    docs, labels = read(spark, f"{DATA}/sf0.01", "documents"), read(spark, f"{DATA}/sf0.01", "labels")
+    model = fit(docs, labels.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    lines = lambda t: [x for x in t.split("\n") if x.split()]
+    good, bad = ([lines(r.text)[:30] for r in held if r.quality == q and len(lines(r.text)) >= 5] for q in (1, 0))
+    rows, borders, sides = [], [], []
+    for i, (a, b) in enumerate(itertools.product(good[:12], bad[:8])):
+        first, last = (a, b) if i % 2 else (b, a)
+        rows.append((i, "\n".join(first + last)))
+        borders.append(len(first))
+        sides.append("CB" if i % 2 else "BC")
+    found = {r.doc_id: r for r in judge(table(spark, rows), model).collect()}
+    near = right = between = 0
+    for i, (border, side) in enumerate(zip(borders, sides, strict=True)):
+        r = found[i]
+        truth = side[0] * border + side[1] * (len(r.line_labels) - border)
+        wrong = [at for at, (x, y) in enumerate(zip(r.line_labels, truth, strict=True)) if x != y]
+        near += all(border - 2 <= at < border + 2 for at in wrong)
+        between += 0 < r.content_share < 1
+        chars = [len("".join(x.split())) for x in lines(rows[i][1])]
+        share = sum(c for c, x in zip(chars, r.line_labels, strict=True) if x == "C") / sum(chars)
+        assert abs(share - r.content_share) < 1e-9
+        right += r.kept == (not r.base_failed and share >= 0.5)
+    assert right == len(rows)
+    assert between > 0.9 * len(rows)
+    assert near > 0.7 * len(rows)
+    assert {r.kept for r in found.values() if 0 < r.content_share < 1} == {True, False}
+
+
+def test_training_sequences():
+    rng = np.random.default_rng(3)
+    sides = [(rng.normal(size=(n, len(FEATURES))), y) for y in (0, 1) for n in (1, 5, 40)]
+    made = joined(sides)
+    assert len(made) == len(sides)
+    for x, y in made:
+        assert len(x) == len(y) and set(y) == {0, 1}
+    x = np.arange(1000.0)[:, None]
+    assert len(spread(x, 512)) == 512 and spread(x, 512)[-1] == 999 and len(spread(x[:512], 512)) == 512
+
+
 def test_odd_rows_and_missing_labels(spark):
     long = " ".join(f"word{i}" for i in range(60_000))
     docs = table(spark, [(1, None), (2, ""), (3, " \n "), (4, long), (4, long), (None, "x y")], "true as KEPT")
