@@ -29,9 +29,10 @@ documents are linked. Not all pairs of a signature are compared:
    Classes that share no signature are done.
 3. A signature is led by its class with most signatures, and each class joins the leader
    it shares most of them with, if these are two and a fiftieth of its size: classes tied that way
-   are a family, such as the copies of one text with words changed. Within a family all
-   pairs are compared, as products of 0/1 matrices over blocks of bounded size (a large
-   family is cut into blocks, and each pair of blocks is a task); a block returns
+   are a family, such as the copies of one text with words changed. Each is compared with
+   its leader. What that links into one group needs no more; the rest of a family is
+   compared with all of it, as products of 0/1 matrices over blocks of bounded size (a
+   large family is cut into blocks, and each pair of blocks is a task); a block returns
    one edge for each class at most.
 4. Across families, the pairs of a signature are compared: first their sketches (numbers
    of elements in parts of the domain, which differ by no more than the sets do), then,
@@ -536,9 +537,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.intersect1d(left, right, assume_unique=True).size
-                keep.append(100 * both >= PERCENT * (left.size + right.size - both))
+                keep.append(_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("x"))
@@ -644,7 +643,7 @@ def near_duplicates(
     buckets_for = lambda size: max(tasks, math.ceil(size / BUCKET))
     buckets = buckets_for(total)
     asked = _backed(_elements_of_texts(texts, seed, buckets), facts, buckets)
-    sets = stored(_candidate_sets(texts, rows, stored(asked, "backed"), seed), "sets")
+    sets = _candidate_sets(texts, rows, stored(asked, "backed"), seed)
     for _ in range(BACKED):
         total = sets.agg(F.sum("n")).first()[0] or 0
         buckets = buckets_for(total)
@@ -653,8 +652,10 @@ def near_duplicates(
     sizes, sketches = sets.select("cid", "n"), stored(_sketches(sets), "sketches")
     buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
     members = stored(_members(stored(_edges(_emit(sets, 0, buckets), buckets), "signatures")), "members")
-    families = components(_ties(members, sizes))
-    links = stored(_within(families, sets, block_classes, tasks), "links")
+    ties = stored(_ties(members, sizes), "ties")
+    families = components(ties)
+    links = stored(_led(ties, sets, block_classes, tasks), "links")
+    links = stored(links.unionByName(_within(families, components(links), sets, block_classes, tasks)), "links")
     for level in range(levels + 1):
         open_ = stored(_open(members, families), "open")
         small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
@@ -699,14 +700,76 @@ def _ties(members: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _within(families: DataFrame, sets: DataFrame, block_classes: int, parts: int) -> DataFrame:
-    """(a, b): edges that connect the similar classes of each family."""
-    placed = families.join(sets, "cid")
-    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("classes") / block_classes), F.ceil(F.col("total") * 8 / BLOCK_BYTES))
-    placed = placed.join(sizes.select("comp", blocks.cast("int").alias("blocks")), "comp")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _led(ties: DataFrame, sets: DataFrame, block_classes: int, parts: int) -> DataFrame:
+    """The ties (a, b) of classes that are similar to their leader, which is dealt with at most ``block_classes`` of them."""
+    sizes = ties.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block_classes).cast("int").alias("salts"))
+    leads = sizes.select(F.col("b").alias("cid"), F.lit(None).cast("long").alias("leader"), "salts")
+    led = ties.join(sizes, "b").select(F.col("a").alias("cid"), F.col("b").alias("leader"), "salts")
+    rows = sets.select("cid", "elements").join(leads.unionByName(led), "cid")
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    one = F.array(F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int"))
+    key = ["head", "salt"]
+    dealt = rows.select(
+        F.coalesce("leader", "cid").alias("head"),
+        F.explode(F.when(F.col("leader").isNull(), every).otherwise(one)).alias("salt"),
+        F.col("leader").isNotNull().alias("led"),
+        "cid",
+        "elements",
+    )
+    dealt = dealt.repartition(parts, *key).sortWithinPartitions(*key, "led")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            found = []
+            columns = (batch.column(c).to_pylist() for c in ("head", "led", "cid"))
+            for head, led, cid, data in zip(*columns, batch.column("elements"), strict=True):
+                elements = np.frombuffer(data.as_buffer(), np.uint64)
+                if not led:
+                    first = elements
+                elif _similar(first, elements):
+                    found.append((cid, head))
+            columns = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= PERCENT * (x.size + y.size - both)
+
+
+def _within(families: DataFrame, linked: DataFrame, sets: DataFrame, block_classes: int, parts: int) -> DataFrame:
+    """(a, b): edges that connect the similar classes of each family, beside those in ``linked``.
+
+    The classes of a family's largest linked group need no comparison with each other; the
+    rest is compared with all.
+    """
+    known = families.join(linked.withColumnRenamed("comp", "part"), "cid", "left")
+    known = known.withColumn("part", F.coalesce("part", "cid")).join(sets.select("cid", "n"), "cid")
+    groups = known.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total"))
+    main = groups.groupBy("comp").agg(
+        F.max(F.struct("classes", "total", "part")).alias("main"),
+        F.sum("classes").alias("classes"),
+        F.sum("total").alias("total"),
+    )
+
+    def blocks(classes, total):
+        return F.greatest(F.ceil(classes / block_classes), F.ceil(total * 8 / BLOCK_BYTES)).cast("int")
+
+    main = main.where("classes > main.classes").select(
+        "comp",
+        F.col("main.part").alias("main"),
+        blocks(F.col("classes") - F.col("main.classes"), F.col("total") - F.col("main.total")).alias("rest"),
+        blocks(F.col("main.classes"), F.col("main.total")).alias("mains"),
+    )
+    placed = stored(known.join(main, "comp").drop("n"), "families").join(sets.select("cid", "elements"), "cid")
+    number = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    in_main = F.col("part") == F.col("main")
+    own = F.when(in_main, F.col("rest") + number("mains")).otherwise(number("rest"))
+    others = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     keyed = spread.select(
         "comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cid", "elements"
     )
@@ -773,7 +836,11 @@ def _candidate_sets(texts: DataFrame, rows: DataFrame, asked: DataFrame, seed: i
         .select(F.col("row.key").alias("o_key"), F.col("row.doc_id").alias("o_id"))
     )
     same = (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id"))
-    return _sets(texts.join(one, same, "left_semi"), seed, once=True).dropDuplicates(["cid"])
+    sets = stored(_sets(texts.join(one, same, "left_semi"), seed, once=True), "sets")
+    if sets.groupBy("cid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return sets
+    # Rows that repeat both id and text, in different tasks.
+    return stored(sets.dropDuplicates(["cid"]), "sets")
 
 
 def _members(edges: DataFrame) -> DataFrame:
