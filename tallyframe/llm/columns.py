@@ -41,12 +41,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def texts_utf8(column: pa.Array) -> Iterator[bytes]:
-    """Each text as UTF-8; null counts as empty."""
-    for text in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
-        yield text.as_py() or b""
-
-
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, or with underscores behind it where a column has that name (in any case)."""
     lower = {c.lower() for c in taken}

@@ -1,23 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each stream (a source with its own target, or all others together) is cut into blocks of
-equal bytes. With weight w, block i of a stream may not start before slot floor(i / w)
-and is due by slot ceil((i + 1) / w); in every slot the released block with the earliest
-deadline goes next. As the weights add up to one, all deadlines are met, and at every
-slot each stream is less than one block from its share.
+Each stream (a source, or all small sources together) is cut into blocks of equal bytes,
+``slots`` blocks for all bytes. With weight w, block i of a stream may not start before slot
+floor(i / w) and is due by slot ceil((i + 1) / w); in every slot the released block with the
+earliest deadline goes next. As the weights add up to one, all deadlines are met, and at
+every slot each stream is less than one block from its share, which is less than one part in
+``slots`` of the mix.
 
 Weights are exact fractions; none is rounded, so a stream of one row among many gigabytes
-does not run out before its time. The slots of the blocks (not of rows; 16 thousand blocks
-for each GB) are made on the driver and joined with the rows. Which block a row is in follows from a running sum over its stream in hash order, taken in two
-levels (within hash buckets, and over the sums of the buckets), so that a source of a
+does not run out before its time. The slots of the blocks (not of rows) are made on the
+driver: ``slots`` of them, whatever the size of the data, in the same way at every size.
+Which block a row is in follows from a running sum over its stream in hash order, taken in
+two levels (within hash buckets, and over the sums of the buckets), so that a source of a
 third of all rows is no single task.
 
-The mix ends where the first stream runs out (``in_mix``): up to there the targets hold.
+The mix ends where the first stream runs out: a block is in the mix (``in_mix``) if its
+start, i / w, lies before that of the first block that some stream lacks. Rows behind it
+have no slot. Where the weights are the streams' own shares, all rows are in the mix.
 
-Target weights come from the caller, or from ``capped_weights``: a source that reaches
-``cap`` of the bytes (at most 1/cap do) has weight ``cap``, and all others form one stream
-with their share. Only the proportions count, so where the others are few, a source gets
-more than ``cap`` of the mix.
+Target weights come from the caller, or from ``capped_weights``: every source with ``least``
+of the bytes is a stream (at most 1/least are) with its share, but no more than ``cap``; all
+smaller sources form one stream with theirs. Only the proportions count, so where the others
+are few, a source gets more than ``cap`` of the mix.
 
 Defined results: a null source is a source of its own; a null text counts one byte, as an
 empty one; rows that repeat an id are placed one by one; a stream without rows is left
@@ -26,97 +30,74 @@ out, and one with rows needs a weight above 0; an empty table gives no rows. Ext
 
 from __future__ import annotations
 
-from array import array
+import heapq
+import math
 from fractions import Fraction
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.columns import read
 from tallyframe.llm.scratch import stored
 
-PERIOD = 100
-BLOCK_BYTES = 64 << 10
-CAP = 0.25
+SLOTS = 4096
+CAP, LEAST = 0.25, 0.01
 #: Leading hexadecimal digits of the hash that name a bucket of the running sums.
 BUCKET_DIGITS = 3
 
+Block = tuple[int, int, int, int, int]
 
-def whole_weights(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole numbers in proportion to ``weights`` that add up to ``period``, each at least one.
-
-    The hundredths of the SQL; ``schedule`` does not round.
-    """
-    total = sum(weights)
-    exact = [w * period / total for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    by_rest = sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))
-    i = 0
-    while sum(out) < period:
-        out[by_rest[i % len(out)]] += 1
-        i += 1
-    while sum(out) > period:
-        out[max(range(len(out)), key=lambda j: out[j])] -= 1
-    return out
-
-
-def earliest_deadlines(weights: list[int]) -> list[list[int]]:
-    """For each stream the slots of its blocks within one period."""
-    period = sum(weights)
-    slots: list[list[int]] = [[] for _ in weights]
-    for slot in range(period):
-        due = []
-        for s, w in enumerate(weights):
-            i = len(slots[s])
-            if i * period // w <= slot:
-                due.append((-(-(i + 1) * period // w), s))
-        slots[min(due)[1]].append(slot)
-    return slots
 
+def scheduled(weights: list[int], blocks: list[int]) -> list[Block]:
+    """(stream, block, release, deadline, slot) of every block in the mix, in order of slot.
 
-def exact_slots(weights: list[Fraction], blocks: list[int]) -> list[np.ndarray]:
-    """For each stream, release, deadline and slot of its ``blocks`` blocks and of one behind them."""
+    Only the proportions of ``weights`` count. ``blocks`` are the streams' numbers of blocks.
+    """
     total = sum(weights)
-    spans = [total / w for w in weights]  # slots for each block
-    up, down = [x.numerator for x in spans], [x.denominator for x in spans]
-    release, deadline = [0] * len(spans), [-(-u // d) for u, d in zip(up, down, strict=True)]
-    done = [0] * len(spans)
-    out = [array("q") for _ in spans]
-    missing = len(spans)
+    # Block i of a stream starts at i / w; the mix ends at the first such start of a block that is not there.
+    end = min(Fraction(n * total, w) for n, w in zip(blocks, weights, strict=True))
+    missing = sum(-(-w * end // total) for w in weights)
+    waiting = [(0, s, 0) for s in range(len(weights))]  # release, stream, block
+    released: list[tuple[int, int, int, int]] = []  # deadline, stream, block, release
+    out: list[Block] = []
     slot = 0
-    while missing:
-        s = min((deadline[s], s) for s in range(len(spans)) if release[s] <= slot)[1]
-        i = done[s]
-        if i <= blocks[s]:
-            out[s].extend((release[s], deadline[s], slot))
-            missing -= i == blocks[s]
-        done[s] = i = i + 1
-        release[s], deadline[s] = i * up[s] // down[s], -(-(i + 1) * up[s] // down[s])
+    while len(out) < missing:
+        while waiting and waiting[0][0] <= slot:
+            release, s, i = heapq.heappop(waiting)
+            heapq.heappush(released, (-(-(i + 1) * total // weights[s]), s, i, release))
+        deadline, s, i, release = heapq.heappop(released)
+        if i * total < end * weights[s]:
+            out.append((s, i, release, deadline, slot))
+        heapq.heappush(waiting, ((i + 1) * total // weights[s], s, i + 1))
         slot += 1
-    return [np.frombuffer(x, np.int64).reshape(-1, 3) for x in out]
+    return out
 
 
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def capped_weights(docs: DataFrame, cap: float = CAP) -> tuple[list, list[float]]:
-    """The sources that reach ``cap``, and the weights of these and, last, of all others."""
+def capped_weights(docs: DataFrame, cap: float = CAP, least: float = LEAST) -> tuple[list, list[int]]:
+    """The sources that are streams, and the weights of these and, last, of all others, in bytes."""
     sizes = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("size"))
     sizes = stored(sizes, "sources")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    reached = sizes.where(F.col("size") >= cap * total).collect()  # at most 1 / cap rows
-    reached.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    rest = total - sum(r["size"] for r in reached)
-    return [r["source"] for r in reached], [cap] * len(reached) + [rest / total if total else 1.0]
+    named = sizes.where(F.col("size") >= least * total).collect()  # at most 1 / least rows
+    named.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    rest = total - sum(r["size"] for r in named)
+    most = int(Fraction(cap).limit_denominator(10**6) * total)
+    return [r["source"] for r in named], [max(1, min(x, most)) for x in [*(r["size"] for r in named), rest]]
 
 
 def stream_of(named: list) -> Column:
+    """The place of a row's source among the named ones, or behind them."""
     out = F.lit(len(named))
-    for i in range(len(named) - 1, -1, -1):
-        out = F.when(F.col("source").eqNullSafe(F.lit(named[i])), i).otherwise(out)
+    if there := [x for x in named if x is not None]:
+        number = {x: i for i, x in enumerate(named)}
+        at = F.create_map(*[F.lit(v) for x in there for v in (x, number[x])])[F.col("source")]
+        out = F.coalesce(at, out)
+    if None in named:
+        out = F.when(F.col("source").isNull(), named.index(None)).otherwise(out)
     return out.cast("int")
 
 
@@ -124,12 +105,10 @@ def order_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
 
 
-def schedule(
-    docs: DataFrame,
-    named: list,
-    weights: list[float],
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
+PLAN = "stream int, block long, release long, deadline long, slot long"
+
+
+def schedule(docs: DataFrame, named: list, weights: list, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, stream, block, release, deadline, slot, in_mix of every row, and its order key."""
     rows = docs.select(
         "doc_id",
@@ -147,23 +126,19 @@ def schedule(
     )
     sums = stored(sums.select("stream", "bucket", "size", before.alias("bucket_before")), "sums")
     totals = {r["stream"]: r["size"] for r in sums.groupBy("stream").agg(F.sum("size").alias("size")).collect()}
-    there = [(s, w) for s, w in enumerate(weights) if s in totals]
+    there = [(s, Fraction(w)) for s, w in enumerate(weights) if s in totals]
     spark = docs.sparkSession
-    plan_ddl = "stream int, block long, release long, deadline long, slot long"
-    if not there:
-        plan, horizon = spark.createDataFrame([], plan_ddl), 0
-    else:
+    block_bytes, made = 1, []
+    if there:
         if min(w for _, w in there) <= 0:
             raise ValueError(f"streams with rows need weights above 0: {weights}")
-        blocks = [-(-totals[s] // block_bytes) for s, _ in there]
-        slots = exact_slots([Fraction(w) for _, w in there], blocks)
-        horizon = min(int(x[-1, 2]) for x in slots)
-        made = pd.concat(
-            pd.DataFrame(x, columns=["release", "deadline", "slot"]).assign(stream=s, block=np.arange(len(x)))
-            for (s, _), x in zip(there, slots, strict=True)
-        )
-        made = made[["stream", "block", "release", "deadline", "slot"]].astype({"stream": "int32"})
-        plan = stored(spark.createDataFrame(made, plan_ddl), "slots")
+        block_bytes = -(-sum(totals.values()) // slots)
+        scale = math.lcm(*(w.denominator for _, w in there))
+        whole = [int(w * scale) for _, w in there]
+        made = scheduled(whole, [-(-totals[s] // block_bytes) for s, _ in there])
+        made = [(there[s][0], *rest) for s, *rest in made]
+    # No more than ``slots`` rows and one for each stream.
+    plan = F.broadcast(spark.createDataFrame(made, PLAN))
     inner = F.coalesce(
         F.sum("size").over(
             Window.partitionBy("stream", "bucket")
@@ -175,8 +150,8 @@ def schedule(
     placed = (
         rows.withColumn("inner_before", inner)
         .join(sums.drop("size"), ["stream", "bucket"])
-        .withColumn("block", F.floor((F.col("inner_before") + F.col("bucket_before")) / block_bytes).cast("long"))
-        .join(plan, ["stream", "block"])
+        .withColumn("block", F.expr(f"(inner_before + bucket_before) div {block_bytes}"))
+        .join(plan, ["stream", "block"], "left")
     )
     return placed.select(
         "doc_id",
@@ -186,7 +161,7 @@ def schedule(
         "release",
         "deadline",
         "slot",
-        (F.col("slot") < horizon).alias("in_mix"),
+        F.col("slot").isNotNull().alias("in_mix"),
         "key",
         "tie",
     )
@@ -196,20 +171,14 @@ def keep_mixed(docs: DataFrame, cap: float = CAP) -> DataFrame:
     """The rows of ``docs`` in the mix. No text is moved: in hash order, a stream's rows in the mix come first."""
     named, weights = capped_weights(docs, cap)
     placed = schedule(docs, named, weights)
-    last = {
-        r["stream"]: r["last"]
-        for r in placed.where("in_mix").groupBy("stream").agg(F.max(F.struct("key", "tie")).alias("last")).collect()
-    }
-    keep = F.lit(False)
-    for stream, end in last.items():
-        keep = keep | (
-            (stream_of(named) == stream)
-            & (
-                (order_key() < end["key"])
-                | ((order_key() == end["key"]) & (F.xxhash64("text") <= end["tie"]))
-            )
-        )
-    return docs.where(keep)
+    ends = placed.where("in_mix").groupBy("stream").agg(F.max(F.struct("key", "tie")).alias("end"))
+    ends = F.broadcast(stored(ends, "ends"))  # a row for each stream
+    marked = docs.select(
+        F.struct("*").alias("row"),
+        stream_of(named).alias("stream"),
+        F.struct(order_key().alias("key"), F.xxhash64("text").alias("tie")).alias("at"),
+    )
+    return marked.join(ends, "stream").where(F.col("at") <= F.col("end")).select("row.*")
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,66 +191,53 @@ WITH RECURSIVE sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
          CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size
   FROM documents
-), by_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS size FROM sized GROUP BY source
 ), total AS (
-  SELECT CAST(sum(size) AS BIGINT) AS t FROM sized
-), capped AS (
-  SELECT source, size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS stream
-  FROM by_source, total WHERE size >= {CAP} * t
-), shares AS (
-  SELECT stream, {CAP} AS w FROM capped
-  UNION ALL
-  SELECT (SELECT count(*) FROM capped),
-         ((SELECT t FROM total) - (SELECT coalesce(sum(size), 0) FROM capped))
-           / CAST((SELECT t FROM total) AS DOUBLE)
-), used AS (
-  SELECT stream, w * {PERIOD} / (SELECT sum(w) FROM shares WHERE w > 0) AS exact FROM shares WHERE w > 0
-), whole AS (
-  SELECT stream, CAST(floor(exact) AS BIGINT)
-         + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, stream)
-                     <= {PERIOD} - sum(CAST(floor(exact) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS weight
-  FROM used
+  SELECT CAST(sum(size) AS BIGINT) AS t, CAST((sum(size) + {SLOTS - 1}) // {SLOTS} AS BIGINT) AS block_bytes FROM sized
+), named AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS stream
+  FROM sized, total GROUP BY source, t HAVING sum(size) >= {LEAST} * t
+), placed AS (
+  SELECT doc_id, s.source, coalesce(n.stream, (SELECT count(*) FROM named)) AS stream, k, s.size
+  FROM sized s LEFT JOIN named n ON s.source IS NOT DISTINCT FROM n.source
+), blocks AS (
+  SELECT doc_id, source, stream,
+         CAST(coalesce(sum(size) OVER (PARTITION BY stream ORDER BY k
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // block_bytes AS block
+  FROM placed, total
+), streams AS (
+  SELECT stream, CAST(least(sum(size), CAST(floor(t * {CAP}) AS BIGINT)) AS HUGEINT) AS w,
+         CAST((sum(size) + any_value(block_bytes) - 1) // any_value(block_bytes) AS HUGEINT) AS n,
+         row_number() OVER (ORDER BY stream) AS place
+  FROM placed, total GROUP BY stream, t
 ), lists AS (
-  SELECT list(stream ORDER BY stream) AS ids, list(weight ORDER BY stream) AS w FROM whole
-), turns(t, c, pick) AS (
-  SELECT 0, list_transform(w, lambda x: CAST(0 AS BIGINT)), 0 FROM lists
+  SELECT list(stream ORDER BY stream) AS ids, list(w ORDER BY stream) AS w, CAST(sum(w) AS HUGEINT) AS all_w,
+         -- the stream that runs out first, at n / w
+         arg_min(n, CAST(n AS DOUBLE) / w) AS end_n, arg_min(w, CAST(n AS DOUBLE) / w) AS end_w
+  FROM streams
+), needed AS (
+  SELECT CAST(sum((end_n * s.w + end_w - 1) // end_w) AS BIGINT) AS missing FROM streams s, lists
+), turns(t, c, pick, made) AS (
+  SELECT 0, list_transform(w, lambda x: CAST(0 AS BIGINT)), 0, CAST(0 AS BIGINT) FROM lists
   UNION ALL
-  SELECT t + 1,
-         list_transform(range(1, len(w) + 1), lambda i: c[i] + CASE WHEN i = p THEN 1 ELSE 0 END),
-         CAST(p AS INTEGER)
+  SELECT t + 1, list_transform(c, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), CAST(p AS INTEGER),
+         made + CASE WHEN c[p] * end_w < end_n * w[p] THEN 1 ELSE 0 END
   FROM (
-    SELECT t, c, w, list_position(d, list_min(d)) AS p
+    SELECT t, c, w, made, end_n, end_w, list_position(d, list_min(d)) AS p
     FROM (
-      SELECT t, c, w,
-             list_transform(range(1, len(w) + 1), lambda i:
-               CASE WHEN c[i] * {PERIOD} // w[i] <= t
-                    THEN ((c[i] + 1) * {PERIOD} + w[i] - 1) // w[i] ELSE 1000000000 END) AS d
-      FROM turns, lists WHERE t < {PERIOD}
+      SELECT t, c, w, made, end_n, end_w,
+             list_transform(w, lambda x, i:
+               CASE WHEN c[i] * all_w // x <= t THEN ((c[i] + 1) * all_w + x - 1) // x
+               ELSE CAST(1000000000000 AS HUGEINT) END) AS d
+      FROM turns, lists, needed WHERE made < missing
     )
   )
 ), slots AS (
-  SELECT ids[pick] AS stream, w[pick] AS weight, c[pick] - 1 AS i, t - 1 AS slot
-  FROM turns, lists WHERE t > 0
-), placed AS (
-  SELECT doc_id, s.source, coalesce(c.stream, (SELECT count(*) FROM capped)) AS stream, k, s.size
-  FROM sized s LEFT JOIN capped c ON s.source IS NOT DISTINCT FROM c.source
-), blocks AS (
-  SELECT doc_id, source, stream,
-         CAST(coalesce(sum(size) OVER (PARTITION BY stream ORDER BY k
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {BLOCK_BYTES} AS block
-  FROM placed
-), ends AS (
-  SELECT stream, CAST((sum(size) + {BLOCK_BYTES} - 1) // {BLOCK_BYTES} AS BIGINT) AS n FROM placed GROUP BY stream
-), horizon AS (
-  SELECT min(n // weight * {PERIOD} + slot) AS h
-  FROM ends JOIN slots USING (stream) WHERE slots.i = n % weight
+  SELECT ids[pick] AS stream, c[pick] - 1 AS block, t - 1 AS slot, w[pick] AS w, all_w
+  FROM turns, lists WHERE t > 0 AND (c[pick] - 1) * end_w < end_n * w[pick]
 )
-SELECT doc_id, source, CAST(stream AS INTEGER) AS stream, block,
-       block * {PERIOD} // weight AS release,
-       ((block + 1) * {PERIOD} + weight - 1) // weight AS deadline,
-       block // weight * {PERIOD} + slot AS slot,
-       block // weight * {PERIOD} + slot < h AS in_mix
-FROM blocks JOIN slots USING (stream) CROSS JOIN horizon
-WHERE slots.i = block % weight
+SELECT doc_id, source, CAST(b.stream AS INTEGER) AS stream, b.block,
+       CAST(b.block * all_w // w AS BIGINT) AS release,
+       CAST(((b.block + 1) * all_w + w - 1) // w AS BIGINT) AS deadline,
+       CAST(slot AS BIGINT) AS slot, slot IS NOT NULL AS in_mix
+FROM blocks b LEFT JOIN slots s ON s.stream = b.stream AND s.block = b.block
 """
