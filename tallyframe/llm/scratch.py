@@ -22,9 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tallyframe-")
 
 
+_made: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path that no other run uses; nothing is created yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Removes the tables and files that this driver has stored so far; returns how many there were.
+
+    For the end of a job, when its results are written elsewhere: results that still read
+    stored tables can't be read afterwards.
+    """
+    hadoop, removed = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = hadoop.Path(_made[-1])
+        removed += path.getFileSystem(conf).delete(path, True)
+        _made.pop()
+    return removed
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
