@@ -37,7 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No source gets more than a quarter of the mix while others have text left; what exceeds it goes."""
+    """Sources are mixed by their shares, none of which counts for more than a quarter of all bytes.
+
+    Only proportions count: where the others are few, a large source gets more than a quarter
+    of the mix. What exceeds the weights goes; where no source reaches the quarter, all rows stay.
+    """
     ship(spark)
     return keep_mixed(docs)
 
