@@ -34,9 +34,9 @@ documents are linked. Not all pairs of a signature are compared:
    compared with all of it, as products of 0/1 matrices over blocks of bounded size (a
    large family is cut into blocks, and each pair of blocks is a task); a block returns
    one edge for each class at most.
-4. Across families, the pairs of a signature are compared: first their sketches (numbers
-   of elements in parts of the domain, which differ by no more than the sets do), then,
-   where these are near enough, the sets.
+4. Across families, the pairs of a signature are compared: first coarse and then fine
+   sketches (numbers of elements in parts of the domain, which differ by no more than the
+   sets do), then, where these are near enough, the sets.
 5. A signature with too many pairs across families is not enumerated. Its classes are
    split by the signatures of a further, differently seeded partition of the domain, and
    step 4 repeats inside. After ``LEVELS`` splits all pairs are enumerated.
@@ -493,18 +493,26 @@ def _elements_of_sets(sets: DataFrame, buckets: int) -> DataFrame:
 # Comparing sets
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(cid, n, sketch): how many elements of each class are in each of SKETCH parts of the domain."""
+def sketch(elements: np.ndarray, fine: bool = False) -> np.ndarray:
+    """How many elements are in each part of the domain: SKETCH parts, or as ``fine`` one for one or two elements."""
+    parts = max(SKETCH, 1 << (len(elements) // 2).bit_length()) if fine else SKETCH
+    places = (elements % np.uint64(parts)).astype(np.int64)
+    return np.minimum(np.bincount(places, minlength=parts), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many elements sets of these sketches differ at least; the finer sketch is folded to the other's parts."""
+    parts = min(len(x), len(y))
+    folded = [np.minimum(v.astype(np.int64).reshape(-1, parts).sum(0), 255) for v in (x, y)]
+    return int(np.abs(folded[0] - folded[1]).sum())
+
+
+def _sketches(sets: DataFrame, fine: bool = False) -> DataFrame:
+    """(cid, n, sketch) of (cid, n, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [
-                np.minimum(
-                    np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH),
-                    255,
-                ).astype(np.uint8).tobytes()
-                for x in batch.column("elements")
-            ]
+            made = [sketch(np.frombuffer(x.as_buffer(), np.uint64), fine).tobytes() for x in batch.column("elements")]
             columns = [batch.column("cid"), batch.column("n"), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "sketch"])
 
@@ -516,13 +524,13 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int32)
-                for c in ("x", "y")
-            )
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            near = np.abs(x - y).sum(1) * (100 + PERCENT) <= total * (100 - PERCENT)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            apart = [
+                least_difference(*(np.frombuffer(v.as_buffer(), np.uint8) for v in pair))
+                for pair in zip(batch.column("x"), batch.column("y"), strict=True)
+            ]
+            near = np.array(apart, np.int64) * (100 + PERCENT) <= total * (100 - PERCENT)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     left = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_a"))
     right = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_b"))
@@ -649,7 +657,8 @@ def near_duplicates(
         buckets = buckets_for(total)
         asked = _backed(_elements_of_sets(sets, buckets), sets.select("cid", "n"), buckets)
         sets = stored(sets.join(asked, "cid", "left_semi"), "sets")
-    sizes, sketches = sets.select("cid", "n"), stored(_sketches(sets), "sketches")
+    sizes = sets.select("cid", "n")
+    sketches, fine = (stored(_sketches(sets, fine), "sketches") for fine in (False, True))
     buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
     members = stored(_members(stored(_edges(_emit(sets, 0, buckets), buckets), "signatures")), "members")
     ties = stored(_ties(members, sizes), "ties")
@@ -660,7 +669,8 @@ def near_duplicates(
         open_ = stored(_open(members, families), "open")
         small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
         large = stored(open_.where(~small), "large")
-        found = _compared(stored(_near(_pairs(open_.where(small)), sketches), "pairs"), sets)
+        pairs = stored(_near(_pairs(open_.where(small)), sketches), "pairs")
+        found = _compared(stored(_near(pairs, fine), "pairs"), sets)
         links = stored(links.unionByName(found), "links")
         if large.isEmpty():
             break

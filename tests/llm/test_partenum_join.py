@@ -12,11 +12,13 @@ from tallyframe.llm.partenum_join import (
     STARTS,
     components,
     keep_one,
+    least_difference,
     most_differences,
     near_duplicates,
     roles,
     scheme,
     signatures,
+    sketch,
 )
 
 from tests.llm.helpers import DATA, table
@@ -147,6 +149,19 @@ def test_similar_sets_share_a_signature_where_partitions_are_low():
                 assert len(np.intersect1d(signatures(base), signatures(other)))
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        both = random_set(rng, rng.integers(0, 1500))
+        a, b = (np.append(both, random_set(rng, rng.integers(0, 2000))) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        assert least_difference(sketch(a), sketch(b)) <= apart
+        assert least_difference(sketch(a, True), sketch(b, True)) <= apart
+        assert least_difference(sketch(a, True), sketch(a, True)) == 0
+    few = np.arange(1, 3000, dtype=np.uint64) * np.uint64(1 << 20)  # all in one part
+    assert least_difference(sketch(few), sketch(few[:100])) <= 2899
+
+
 def test_schemes_keep_their_promise_and_their_bound():
     for band in range(40):
         plan, most = scheme(band), most_differences(band)
