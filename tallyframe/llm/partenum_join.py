@@ -74,7 +74,7 @@ from tallyframe.llm.scratch import stored
 WORDS = 5
 PERCENT = 75
 #: Pairs across families for each class of a signature, up to which they are enumerated.
-FEW = 16
+FEW = 64
 #: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
 #: Further rounds of step 1, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
