@@ -34,12 +34,16 @@ documents are linked. Not all pairs of a signature are compared:
    compared with all of it, as products of 0/1 matrices over blocks of bounded size (a
    large family is cut into blocks, and each pair of blocks is a task); a block returns
    one edge for each class at most.
-4. Across families, the pairs of a signature are compared: first coarse and then fine
-   sketches (numbers of elements in parts of the domain, which differ by no more than the
-   sets do), then, where these are near enough, the sets.
-5. A signature with too many pairs across families is not enumerated. Its classes are
+4. Across families, a class shares no more elements with another one than occur in classes
+   of other families. That number, counted like the one of step 1, bounds the size of a
+   similar partner; where it leaves none, the class goes.
+5. The classes that are left are compared in each signature, in one task, by these bounds
+   and by coarse sketches (numbers of elements in parts of the domain, which differ by no
+   more than the sets do). Only pairs that both leave become rows; fine sketches are compared
+   for these, and then, where they are near enough, the sets.
+6. A signature with too many pairs for one task is not compared that way. Its classes are
    split by the signatures of a further, differently seeded partition of the domain, and
-   step 4 repeats inside. After ``LEVELS`` splits all pairs are enumerated.
+   step 5 repeats inside. After ``LEVELS`` splits all signatures are compared.
 
 Links are closed into components by large star and small star rounds.
 
@@ -73,12 +77,11 @@ from tallyframe.llm.scratch import stored
 
 WORDS = 5
 PERCENT = 75
-#: Pairs across families for each class of a signature, up to which they are enumerated.
-FEW = 64
+#: Pairs across families for each class of a signature, up to which one task compares their sketches.
+FEW = 2048
 #: Splits of large signatures, and classes and bytes of a block of a family. Results do not depend on them.
 LEVELS = 6
-#: Further rounds of step 1, and the share of its size (one in TIE) that a class shares with its leader. Nor on these.
-BACKED = 2
+#: The share of its size (one in TIE) that a class shares with its leader. Nor on this.
 TIE = 50
 #: Parts of the domain in a sketch.
 SKETCH = 128
@@ -233,13 +236,14 @@ def signatures(elements: np.ndarray, level: int = 0) -> np.ndarray:
 # Rows of packed signatures: for one bucket, the classes, how many signatures each has, the
 # signatures' low five bytes. With kind EDGES they are edges that a task has found by itself.
 # Elements are packed in the same form; then COUNTS are numbers of elements of classes that a
-# task has found in company, and KNOWN are elements that it has found in two classes.
+# task has found in company, and KNOWN are elements that it has found in two classes; in rows of
+# kind LABELLED, the labels of the classes follow them.
 
 PACKED = "bucket int, kind int, part int, classes binary, counts binary, signatures binary"
 PACKED_SCHEMA = pa.schema(
     [(n, pa.binary() if k == "binary" else pa.int32()) for n, k in (x.split() for x in PACKED.split(", "))]
 )
-OPEN, EDGES, COUNTS, KNOWN = range(4)
+OPEN, EDGES, COUNTS, KNOWN, LABELLED = range(5)
 LOW_BITS = 40
 #: Signatures that a task holds before it packs them, and those of a bucket on average.
 HELD = 250_000
@@ -283,15 +287,19 @@ def _low(sig: np.ndarray) -> bytes:
     return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
 
 
-def _pack_open(sig: np.ndarray, cls: np.ndarray, buckets: int, part: int = 0, kind: int = OPEN) -> Iterator[tuple]:
+def _pack_open(
+    sig: np.ndarray, cls: np.ndarray, buckets: int, part: int = 0, kind: int = OPEN, label: np.ndarray | None = None
+) -> Iterator[tuple]:
     bucket = (sig >> np.uint64(LOW_BITS)) % np.uint64(buckets)
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     sig, cls, bucket = sig[order], cls[order], bucket[order]
+    label = None if label is None else label[order]
     for start, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
         own = cls[start : start + n]
         first, counts = _runs(own)
         low = _low(sig[start : start + n])
-        yield int(bucket[start]), kind, part, own[first].tobytes(), counts.astype(np.int32).tobytes(), low
+        classes = own[first].tobytes() + (b"" if label is None else label[start : start + n][first].tobytes())
+        yield int(bucket[start]), kind, part, classes, counts.astype(np.int32).tobytes(), low
 
 
 def _pack_edges(sig, cls, leader, buckets) -> Iterator[tuple]:
@@ -360,17 +368,20 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _opened(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, classes and parts of the packed rows of a bucket."""
+def _opened(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, classes, parts and labels (the classes themselves, if none) of the packed rows of a bucket."""
     sigs, classes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for bucket, _, part, cls, counts, packed in rows:
+    labels = [np.zeros(0, np.int64)]
+    for bucket, kind, part, cls, counts, packed in rows:
         low = np.frombuffer(packed, np.uint8).reshape(-1, LOW_BITS // 8)
         sig = np.zeros((len(low), 8), np.uint8)
         sig[:, : LOW_BITS // 8] = low
         sigs.append(sig.view("<i8").ravel() + (bucket << LOW_BITS))
-        classes.append(np.repeat(np.frombuffer(cls, np.int64), np.frombuffer(counts, np.int32)))
+        own, times = np.frombuffer(cls, np.int64), np.frombuffer(counts, np.int32)
+        classes.append(np.repeat(own[: len(times)], times))
+        labels.append(np.repeat(own[len(times) :], times) if kind == LABELLED else classes[-1])
         parts.append(np.full(len(low), part, np.int32))
-    return np.concatenate(sigs), np.concatenate(classes), np.concatenate(parts)
+    return tuple(np.concatenate(x) for x in (sigs, classes, parts, labels))
 
 
 def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
@@ -387,7 +398,7 @@ def _edges(packed: DataFrame, buckets: int) -> DataFrame:
                 for _, kind, _, cls, leader, sig in rows
                 if kind == EDGES
             ]
-            sig, cls, _ = _opened([r for r in rows if r[1] == OPEN])
+            sig, cls, *_ = _opened([r for r in rows if r[1] == OPEN])
             parts.append(list(_edges_within(sig, cls)[1:]))
             for columns in parts:
                 for start in range(0, len(columns[0]), 20_000):
@@ -401,24 +412,39 @@ def _edges(packed: DataFrame, buckets: int) -> DataFrame:
 # Elements in company
 
 
-def _pack_elements(elements: np.ndarray, cls: np.ndarray, buckets: int, part: int) -> Iterator[tuple]:
-    """Elements of two classes of the pack are counted here; of each, the shuffle only learns that there are two."""
+def _pack_elements(
+    elements: np.ndarray, cls: np.ndarray, buckets: int, part: int, labels: dict[int, int] | None = None
+) -> Iterator[tuple]:
+    """Elements of two classes of the pack are counted here; of each, the shuffle only learns that there are two.
+
+    With ``labels`` (class to label), two classes of one label count as one.
+    """
     order = np.argsort(elements)
     elements, cls = elements[order], cls[order]
+    label = cls
+    if labels is not None:
+        own, place = np.unique(cls, return_inverse=True)
+        label = np.array([labels[c] for c in own.tolist()], np.int64)[place]
     first, lengths = _runs(elements)
-    several = np.repeat(lengths > 1, lengths)
+    shared = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    several = np.repeat(shared, lengths)
     cids, counts = np.unique(cls[several], return_counts=True)
     if len(cids):
         bucket = int(mix(np.array([part], np.uint64), 9)[0] % np.uint64(buckets))
         yield bucket, COUNTS, part, cids.tobytes(), counts.astype(np.int64).tobytes(), b""
-    known = elements[first[lengths > 1]]
+    known = elements[first[shared]]
     yield from _pack_open(known, np.zeros(len(known), np.int64), buckets, part, KNOWN)
-    order = np.argsort(cls[~several], kind="stable")
-    yield from _pack_open(elements[~several][order], cls[~several][order], buckets, part)
+    elements, cls, label = elements[~several], cls[~several], label[~several]
+    order = np.argsort(cls, kind="stable")
+    elements, cls, label = elements[order], cls[order], label[order]
+    if labels is None:
+        yield from _pack_open(elements, cls, buckets, part)
+    else:
+        yield from _pack_open(elements, cls, buckets, part, LABELLED, label)
 
 
 def _company(packed: DataFrame, buckets: int) -> DataFrame:
-    """(cid, shared): how many elements of each class, as one task met it, are in another class too.
+    """(cid, shared): how many elements of each class, as one task met it, are in another class (of another label) too.
 
     Never too few. A class whose copies are in several tasks is counted for each task by itself.
     """
@@ -430,14 +456,14 @@ def _company(packed: DataFrame, buckets: int) -> DataFrame:
                 own = np.frombuffer(cids, np.int64)
                 columns = [own, np.full(len(own), part, np.int32), np.frombuffer(counts, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-            element, cls, part = _opened([r for r in rows if r[1] == OPEN])
+            element, cls, part, label = _opened([r for r in rows if r[1] in (OPEN, LABELLED)])
             known = np.unique(_opened([r for r in rows if r[1] == KNOWN])[0])
             order = np.argsort(element)
-            element, cls, part = element[order], cls[order], part[order]
+            element, cls, part, label = element[order], cls[order], part[order], label[order]
             first, lengths = _runs(element)
             if not len(first):
                 continue
-            shared = np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)
+            shared = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
             shared |= np.isin(element[first], known, assume_unique=True)
             shared = np.repeat(shared, lengths)
             cls, part = cls[shared], part[shared]
@@ -479,15 +505,34 @@ def _elements_of_texts(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
 
 
 def _elements_of_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """Packed elements of (cid, elements, comp); classes of one comp count as one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (
-            (cid, np.frombuffer(data.as_buffer(), np.uint64))
-            for batch in batches
-            for cid, data in zip(batch.column("cid").to_pylist(), batch.column("elements"), strict=True)
-        )
-        return _packs(rows, lambda e, c: _pack_elements(e, c, buckets, 0))
+        labels: dict[int, int] = {}
+
+        def found() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                columns = (batch.column("cid").to_pylist(), batch.column("comp").to_pylist())
+                for cid, comp, data in zip(*columns, batch.column("elements"), strict=True):
+                    labels[cid] = comp
+                    yield cid, np.frombuffer(data.as_buffer(), np.uint64)
+
+        return _packs(found(), lambda e, c: _pack_elements(e, c, buckets, 0, labels))
 
-    return sets.select("cid", "elements").mapInArrow(run, PACKED)
+    return sets.select("cid", "elements", "comp").mapInArrow(run, PACKED)
+
+
+def _partners(sets: DataFrame, families: DataFrame, buckets: int) -> DataFrame:
+    """(cid, n, comp, most) of the classes that can have a similar partner in another family, of size ``most`` or less."""
+    labelled = sets.join(families, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    shared = _company(_elements_of_sets(labelled, buckets), buckets)
+    most = F.expr(f"shared * {100 + PERCENT} div {PERCENT} - n")
+    return (
+        labelled.select("cid", "n", "comp")
+        .join(shared, "cid")
+        .select("cid", "n", "comp", most.alias("most"))
+        .where(F.col("most") * 100 >= F.col("n") * PERCENT)
+    )
 
 
 # Comparing sets
@@ -520,7 +565,7 @@ def _sketches(sets: DataFrame, fine: bool = False) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches leave: parts of the domain differ no more than the sets."""
+    """The pairs (a, b) that sketches leave: parts of the domain differ no more than the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -534,8 +579,7 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     left = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_a"))
     right = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_b"))
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return pairs.join(left, "a").join(right, "b").where(sized).mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -652,30 +696,29 @@ def near_duplicates(
     buckets = buckets_for(total)
     asked = _backed(_elements_of_texts(texts, seed, buckets), facts, buckets)
     sets = _candidate_sets(texts, rows, stored(asked, "backed"), seed)
-    for _ in range(BACKED):
-        total = sets.agg(F.sum("n")).first()[0] or 0
-        buckets = buckets_for(total)
-        asked = _backed(_elements_of_sets(sets, buckets), sets.select("cid", "n"), buckets)
-        sets = stored(sets.join(asked, "cid", "left_semi"), "sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
     sizes = sets.select("cid", "n")
-    sketches, fine = (stored(_sketches(sets, fine), "sketches") for fine in (False, True))
     buckets = buckets_for(2 * PER_ELEMENT * total)  # a set takes part in two bands
     members = stored(_members(stored(_edges(_emit(sets, 0, buckets), buckets), "signatures")), "members")
     ties = stored(_ties(members, sizes), "ties")
     families = components(ties)
     links = stored(_led(ties, sets, block_classes, tasks), "links")
     links = stored(links.unionByName(_within(families, components(links), sets, block_classes, tasks)), "links")
+    partners = stored(_partners(sets, families, buckets_for(total)), "partners")
+    sets = stored(sets.join(partners.select("cid"), "cid", "left_semi"), "sets")
+    coarse, fine = (stored(_sketches(sets, fine), "sketches") for fine in (False, True))
+    coarse = coarse.join(partners.select("cid", "most"), "cid")
     for level in range(levels + 1):
-        open_ = stored(_open(members, families), "open")
+        open_ = stored(_open(members, partners), "open")
         small = F.lit(level == levels) | (F.col("pairs") <= few * F.col("members"))
         large = stored(open_.where(~small), "large")
-        pairs = stored(_near(_pairs(open_.where(small)), sketches), "pairs")
+        pairs = stored(_pairs(open_.where(small), coarse, tasks).distinct(), "pairs")
         found = _compared(stored(_near(pairs, fine), "pairs"), sets)
         links = stored(links.unionByName(found), "links")
         if large.isEmpty():
             break
         inside = large.groupBy("cid").agg(F.collect_set("sig").alias("inside"))
-        size = sizes.join(inside, "cid").agg(F.sum(F.col("n") * F.size("inside"))).first()[0]
+        size = partners.join(inside, "cid").agg(F.sum(F.col("n") * F.size("inside"))).first()[0]
         buckets = buckets_for(2 * PER_ELEMENT * size)
         edges = stored(_edges(_emit(sets.join(inside, "cid"), level + 1, buckets), buckets), "signatures")
         members = stored(_members(edges), "members")
@@ -860,12 +903,12 @@ def _members(edges: DataFrame) -> DataFrame:
     )
 
 
-def _open(members: DataFrame, families: DataFrame) -> DataFrame:
-    """(sig, cid, comp, members, pairs) of the signatures whose classes are in two or more families.
+def _open(members: DataFrame, partners: DataFrame) -> DataFrame:
+    """(sig, cid, comp, members, pairs) of the signatures with classes of ``partners`` in two or more families.
 
     ``comp`` is the family, ``pairs`` the number of pairs of the signature's classes across families.
     """
-    labelled = members.join(families, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labelled = members.join(partners.select("cid", "comp"), "cid")
     by_comp = labelled.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
     by_sig = by_comp.groupBy("sig").agg(
         F.count(F.lit(1)).alias("comps"),
@@ -878,11 +921,59 @@ def _open(members: DataFrame, families: DataFrame) -> DataFrame:
     return labelled.join(by_sig, "sig")
 
 
-def _pairs(small: DataFrame) -> DataFrame:
-    """(a, b): the pairs across families that share a signature."""
-    left = small.select("sig", F.col("cid").alias("a"), F.col("comp").alias("a_comp"))
-    right = small.select("sig", F.col("cid").alias("b"), F.col("comp").alias("b_comp"))
-    return left.join(right, "sig").where("a < b and a_comp <> b_comp").select("a", "b").distinct()
+def _pairs(small: DataFrame, coarse: DataFrame, parts: int) -> DataFrame:
+    """(a, b), a < b: the pairs across families in a signature that sizes, their bounds and sketches leave."""
+    names = ["sig", "cid", "comp", "n", "most", "sketch"]
+    rows = small.select("sig", "cid", "comp").join(coarse, "cid").select(*names)
+    rows = rows.repartition(parts, "sig").sortWithinPartitions("sig", "n")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        now, held = None, []
+        for batch in batches:
+            numbers = [batch.column(c).to_numpy() for c in names[:-1]]
+            cells = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for start, n in zip(*(x.tolist() for x in _runs(numbers[0])), strict=True):
+                if numbers[0][start] != now and held:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                now = numbers[0][start]
+                held.append([x[start : start + n] for x in (*numbers[1:], cells)])
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros((2, 0), np.int64)], 0
+        for found in itertools.chain.from_iterable(_pairs_of_signature(*group) for group in groups(batches)):
+            held.append(found)
+            size += found.shape[1]
+            if size > HELD:
+                yield _pair_batch(held)
+                held, size = held[:1], 0
+        yield _pair_batch(held)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found, 1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+
+def _pairs_of_signature(
+    cid: np.ndarray, comp: np.ndarray, n: np.ndarray, most: np.ndarray, cells: np.ndarray
+) -> Iterator[np.ndarray]:
+    """The pairs of one signature that may be similar, two rows of classes; classes come in ascending order of size."""
+    last = np.searchsorted(n, most, side="right").tolist()
+    for i in range(len(n) - 1):
+        later = slice(i + 1, last[i])
+        possible = (comp[later] != comp[i]) & (most[later] >= n[i]) & (n[i] * 100 >= n[later] * PERCENT)
+        at = i + 1 + np.flatnonzero(possible)
+        if not len(at):
+            continue
+        apart = (np.maximum(cells[at], cells[i]) - np.minimum(cells[at], cells[i])).sum(1, dtype=np.int64)
+        at = at[apart * (100 + PERCENT) <= (n[at] + n[i]) * (100 - PERCENT)]
+        if len(at):
+            yield np.stack([np.minimum(cid[at], cid[i]), np.maximum(cid[at], cid[i])])
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:

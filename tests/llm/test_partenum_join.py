@@ -4,9 +4,12 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tallyframe.llm import partenum_join
 from tallyframe.llm.columns import LOWER_ASCII, read
 from tallyframe.llm.partenum_join import (
     _block_edges,
+    _pairs_of_signature,
+    _partners,
     PER_ELEMENT,
     BESIDES,
     STARTS,
@@ -207,3 +210,59 @@ def test_a_block_connects_exactly_its_similar_sets():
                 for k in reach[j]:
                     reach[k] = reach[i]
     assert all(same(i, j) == (j in reach[i]) for i in range(120) for j in range(120))
+
+
+def test_texts_with_a_common_passage_need_no_split(spark, monkeypatch):
+    """They share signatures, but no two families share as many elements as similar texts do."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(24)]
+    rows = []
+    for base in range(6):
+        for _ in range(10):
+            text = [f"b{base}w{i}" for i in range(50)] + passage
+            for _ in range(rng.randrange(1, 4)):
+                text[rng.randrange(50)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    made = []
+    keep = partenum_join.stored
+    monkeypatch.setattr(partenum_join, "stored", lambda df, name: made.append(name) or keep(df, name))
+    assert got(near_duplicates(table(spark, rows), few=0)) == brute(rows)
+    assert made.count("signatures") == 1
+
+
+def test_pairs_of_a_signature_are_those_that_bounds_and_sketches_leave():
+    rng = np.random.default_rng(6)
+    base = random_set(rng, 200)
+    cut = lambda: rng.choice(base, rng.integers(160, 200), replace=False)
+    sets = sorted((np.unique(np.append(cut(), random_set(rng, rng.integers(0, 60)))) for _ in range(80)), key=len)
+    n = np.array([len(e) for e in sets])
+    cid, comp, most = rng.permutation(80), rng.integers(0, 30, 80), n + rng.integers(-20, 60, 80)
+    cells = np.stack([sketch(e) for e in sets])
+    found = {tuple(p) for x in _pairs_of_signature(cid, comp, n, most, cells) for p in x.T.tolist()}
+    expected = set()
+    for j in range(80):
+        for i in range(j):
+            near = 7 * least_difference(cells[i], cells[j]) <= n[i] + n[j] and n[i] * 4 >= n[j] * 3
+            if comp[i] != comp[j] and near and n[j] <= most[i] and n[i] <= most[j]:
+                expected.add((min(cid[i], cid[j]), max(cid[i], cid[j])))
+    assert found == expected and 20 < len(found) < 2500
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_partners_count_elements_of_other_families(spark, buckets):
+    rng = np.random.default_rng(7)
+    pool = random_set(rng, 300)
+    sets = [np.unique(rng.choice(pool[: rng.integers(20, 300)], rng.integers(5, 80))) for _ in range(40)]
+    sets[0] = random_set(rng, 30)
+    comp = {i: i % 7 for i in range(20)}  # the others are in no family
+    rows = [(i, len(e), bytearray(e.tobytes())) for i, e in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cid long, n long, elements binary").repartition(3)
+    families = spark.createDataFrame(list(comp.items()), "cid long, comp long")
+    found = {r.cid: r.most for r in _partners(df, families, buckets).collect()}
+    expected = {}
+    for i, e in enumerate(sets):
+        others = [x for j, x in enumerate(sets) if comp.get(j, j) != comp.get(i, i)]
+        most = len(np.intersect1d(e, np.concatenate(others))) * 7 // 3 - len(e)
+        if 4 * most >= 3 * len(e):
+            expected[i] = most
+    assert found == expected and 0 < len(expected) < 40
